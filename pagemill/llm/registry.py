@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, exact, mixing, simhash
+from . import bpe, chat, exact, language, mixing, simhash, syncmers
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_language_id": language.op7_language_id,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_fingerprints": syncmers.op9_fingerprints,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLE = {
