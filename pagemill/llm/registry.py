@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, language, mixing, simhash, syncmers
+import corpus_pipeline
+
+from . import bpe, chat, exact, language, lines, mixing, simhash, syncmers
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_language_id": language.op7_language_id,
     "op8_chat_format": chat.op8_chat_format,
     "op9_fingerprints": syncmers.op9_fingerprints,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
+    "op4_line_dedup": lines.OP4_SQL,
     "op5_exact_dedup": exact.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }
