@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import automaton, bpe, chat, exact, language, lines, mixing, simhash, syncmers
+from . import automaton, bpe, chat, exact, language, lines, mixing, rindex, simhash, syncmers
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_substring_dedup": automaton.op2_substring_dedup,
+    "op3_suffix_array_dedup": rindex.op3_suffix_array_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
@@ -21,6 +22,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_substring_dedup": automaton.OP2_SQL,
+    "op3_suffix_array_dedup": rindex.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op5_exact_dedup": exact.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
