@@ -20,21 +20,21 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Pieces that a worker remembers, and code points of texts that it cuts at a time.
-MEMORY, BLOCK_CHARS = 300_000, 2_000_000
+MEMORY, BLOCK_CHARS = 1_000_000, 2_000_000
 
 ENCODE = """
-WITH RECURSIVE step(w, pos, tok, round) AS (
-  SELECT w, pos, tok, 0 FROM start
+WITH RECURSIVE step(w, pos, nxt, tok, round) AS (
+  SELECT w, pos, pos + 1, tok, 0 FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = best % 1024 THEN CAST(best // 1024 AS INTEGER) ELSE tok END, round + 1
+  SELECT w, pos, CASE WHEN hit THEN skip ELSE nxt END, CASE WHEN hit THEN CAST(best >> 20 AS INTEGER) ELSE tok END, round + 1
   FROM (
-    SELECT w, pos, tok, round, before, min(rank * 1024 + pos) OVER (PARTITION BY w) AS best
-    FROM (
-      SELECT w, pos, tok, round, lead(tok) OVER side AS after, lag(pos) OVER side AS before
-      FROM step WINDOW side AS (PARTITION BY w ORDER BY pos)
-    ) LEFT JOIN merges ON lft = tok AND rgt = after
+    SELECT step.*, best, skip, pos = (best >> 10) & 1023 AS hit FROM step JOIN (
+      SELECT a.w, min((rank << 20) | (a.pos << 10) | a.nxt) AS best, arg_min(b.nxt, (rank << 20) | (a.pos << 10) | a.nxt) AS skip
+      FROM step a JOIN step b ON a.w = b.w AND a.nxt = b.pos JOIN merges ON lft = a.tok AND rgt = b.tok
+      GROUP BY a.w
+    ) USING (w)
   )
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> best % 1024)
+  WHERE pos <> best & 1023
 ), last AS (SELECT w, max(round) AS round FROM step GROUP BY w)
 SELECT w, count(*) AS n, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, string_agg(bytes, '' ORDER BY pos) AS decoded
 FROM step JOIN last USING (w, round) JOIN vocabulary ON id = tok
@@ -90,7 +90,9 @@ class Codec:
         one = [self.ranks[bytes([b])] for b in range(256)]
         short, raw = [], [p.encode() for p in pieces]
         for p, b in zip(pieces, raw):
-            if len(b) > LONG:
+            if (whole := self.ranks.get(b)) is not None:  # a piece that is a token needs no merges
+                self.known[p] = (1, b"%d" % whole, b)
+            elif len(b) > LONG:
                 ids = self._heap(b)
                 self.known[p] = (len(ids), " ".join(map(str, ids)).encode(), self.decode([ids])[0])
             else:
