@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import assembly, parsing
+from . import assembly, layouts, parsing, planning
 
-ALL = {**assembly.QUERIES, **parsing.QUERIES}
+ALL = {**assembly.QUERIES, **parsing.QUERIES, **layouts.QUERIES, **planning.QUERIES}
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLE = {name: sql for name, (_, sql) in ALL.items() if sql}
