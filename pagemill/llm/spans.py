@@ -5,16 +5,16 @@ window of the text (20 words, or 100 bytes) that occurs twice has the same least
 the windows of one anchor, taken together, are the anchor's context.
 
 1. Each chunk sends the hashes of its different (anchor, context) pairs to buckets. A bucket sees which anchors are in
-   several chunks. Where all contexts are alike, the first chunk is asked to supply the context to the others.
-2. For anchors with several contexts, the chunks send hashes of the single windows instead; their buckets ask the first
-   chunk that has a window to supply it to the others.
+   several chunks. Where all contexts are alike, each of them gets the context from the last one before it.
+2. For anchors with several contexts, the chunks send hashes of the single windows instead, and each chunk gets a window
+   from the last one before it.
 3. Chunks cut the passages they were asked for, merged where they overlap, and send them to the chunks that need them.
 4. Each chunk indexes the passages it was sent (its reference shard) and those it repeats itself, and streams its
    documents along that index. Only what the index really holds is removed: hashes route, texts decide.
 
 Every message is made of different hashes or of passages that a chunk needs once, so copies are collapsed before each
-shuffle: a passage that a third of all documents share is sent once to each chunk, and no key gathers its copies. The
-volume is linear in the text, and all state is bounded by a chunk, a bucket or one document.
+shuffle: a passage that a third of all documents share is sent from chunk to chunk, once to each, and no key gathers its
+copies. The volume is linear in the text, and all state is bounded by a chunk, a bucket or one document.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import mix64, parts, settle
 
 #: Text of a chunk on average, text that gives the hashes of a bucket, and symbols that are worked on at a time.
-CHUNK_BYTES, BUCKET_BYTES, BLOCK = 4_000_000, 20_000_000, 1 << 20
+CHUNK_BYTES, BUCKET_BYTES, BLOCK = 4_000_000, 20_000_000, 1 << 18
 NONE = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -242,7 +242,7 @@ def _batch(rows: list[tuple], names: list[str]):
 
 
 def _answer(group):
-    """A bucket of step 1: to every chunk the anchors to resolve (kind 0), to first chunks what to supply to whom (kind 1)."""
+    """A bucket of step 1: to every chunk the anchors to resolve (kind 0), to the chunk before it what to supply (kind 1)."""
     import pyarrow as pa
 
     blobs = group.column("a").to_pylist()
@@ -252,28 +252,26 @@ def _answer(group):
     h, c, chunk = h[order], c[order], chunk[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     group_of = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(h)]])))
-    first, last = chunk[start], np.maximum.reduceat(chunk, start)
-    several = first != last
+    several = chunk[start] != np.maximum.reduceat(chunk, start)
     unlike = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
     resolve = np.flatnonzero((several & unlike)[group_of])
-    supply = np.flatnonzero((several & ~unlike)[group_of] & (chunk != first[group_of]))
+    supply = np.flatnonzero((h[1:] == h[:-1]) & (chunk[1:] != chunk[:-1]) & ~unlike[group_of[1:]]) + 1
     out = [(dest, 0, pack(np.unique(a)), b"") for dest, a in by_value(chunk[resolve], h[resolve])]
-    out += [(dest, 1, pack(a), to.astype("<i4").tobytes()) for dest, a, to in by_value(first[group_of][supply], h[supply], chunk[supply])]
+    # Any earlier chunk will do; the last before it is asked, so none has to supply a passage more than once.
+    out += [(dest, 1, pack(a), to.astype("<i4").tobytes()) for dest, a, to in by_value(chunk[supply - 1], h[supply], chunk[supply])]
     return pa.Table.from_batches([_batch(out, ["chunk", "kind", "a", "b"])])
 
 
 def _answer_windows(group):
-    """A bucket of step 2: to first chunks the windows to supply (kind 2)."""
+    """A bucket of step 2: to the chunk before it the windows to supply (kind 2)."""
     import pyarrow as pa
 
     blobs = group.column("a").to_pylist()
     h, chunk = unpack(blobs), np.repeat(group.column("chunk").to_numpy(), [len(x) // 6 for x in blobs])
     order = np.lexsort((chunk, h))
     h, chunk = h[order], chunk[order]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    first = np.repeat(chunk[start], np.diff(np.concatenate([start, [len(h)]])))
-    later = np.flatnonzero(chunk != first)
-    out = [(dest, 2, pack(a), to.astype("<i4").tobytes()) for dest, a, to in by_value(first[later], h[later], chunk[later])]
+    later = np.flatnonzero((h[1:] == h[:-1]) & (chunk[1:] != chunk[:-1])) + 1
+    out = [(dest, 2, pack(a), to.astype("<i4").tobytes()) for dest, a, to in by_value(chunk[later - 1], h[later], chunk[later])]
     return pa.Table.from_batches([_batch(out, ["chunk", "kind", "a", "b"])])
 
 
