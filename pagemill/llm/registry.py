@@ -22,7 +22,6 @@ QUERIES = {
 
 ORACLE = {
     "op2_substring_dedup": automaton.OP2_SQL,
-    "op3_suffix_array_dedup": rindex.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op5_exact_dedup": exact.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
