@@ -33,10 +33,11 @@ def segment_blocks(responses: DataFrame, key: list[str], column: str = "raw_resp
     return responses.select(*key).join(body, key, "left").select(*key, F.coalesce(clean, F.lit("")).alias("markdown"))
 
 
-def parse(responses: DataFrame) -> DataFrame:
+def parse(responses: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
     """Adds metadata (a struct) and markdown to rows with doc_id, page_index, parser and raw_response.
 
-    Each parser's branch sees only its own rows, so Python runs for the layouts and HTML only; an unknown parser raises.
+    Each parser's branch sees only its own rows, so Python runs for the layouts and HTML only. A job that uses few parsers
+    names them, and has no other branches in its plan; a response for any other parser raises.
     """
     defaults = T.metadata(F.lit(None).cast("string"))
     raw = F.coalesce("raw_response", F.lit(""))
@@ -56,9 +57,11 @@ def parse(responses: DataFrame) -> DataFrame:
     html = html.withColumn("metadata", flagged(F.col("__page"))).withColumn("markdown", F.col("__page.markdown")).drop("__page")
     blocks = of("unlimited_ocr")
     segmented = blocks.join(segment_blocks(blocks, ["doc_id", "page_index"], "__raw"), ["doc_id", "page_index"]).withColumn("metadata", defaults).select(*plain.columns)
-    known = F.coalesce(F.col("parser").isin(*PARSERS), F.lit(False))
+    known = F.coalesce(F.col("parser").isin(*parsers), F.lit(False))
     other = given.where(~known).withColumn("metadata", defaults).withColumn("markdown", F.raise_error(F.concat(F.lit("unknown parser: "), F.coalesce("parser", F.lit("none")))).cast("string"))
-    out = plain
-    for branch in (grounded, svg, laid, html, segmented, other):
-        out = out.unionByName(branch)
+    branches = {("markdown",): plain, ("deepseek_markdown",): grounded, ("svg",): svg, ("dots_layout_json", "infinity_layout_json"): laid, ("chandra_html",): html, ("unlimited_ocr",): segmented}
+    out = other
+    for names, branch in branches.items():
+        if {*names} & {*parsers}:
+            out = out.unionByName(branch)
     return out.drop("__raw")
