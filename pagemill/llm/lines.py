@@ -15,52 +15,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 
 MIN_CHARS = 20
 THRESHOLD = 1
 TILE = 64
 
 
-def _keys(threshold: int, min_chars: int) -> Column:
-    """An array of (key, indexed): the keys a line probes; those of its own segments are also the ones it is found by."""
-    size, out = F.length("line"), []
+def _keys(threshold: int, min_chars: int) -> tuple[list[Column], list[int]]:
+    """The keys that a line (columns line and n, its length) probes, null where it can't; and which of them it is found by."""
+    size, keys, own = F.col("n"), [], []
     for delta in range(-threshold, threshold + 1):  # own length minus the other's
         other = size - delta
         for i in range(threshold + 1):
-            begin = F.floor(other * i / (threshold + 1)).cast("int")
-            length = F.floor(other * (i + 1) / (threshold + 1)).cast("int") - begin
+            begin = F.expr(f"((n - {delta}) * {i}) div {threshold + 1}").cast("int")
+            length = F.expr(f"((n - {delta}) * {i + 1}) div {threshold + 1}").cast("int") - begin
             for shift in range(max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)) + 1):
                 at = begin + shift
                 fits = (at >= 0) & (at + length <= size) & (other >= min_chars)
-                key = F.when(fits, F.xxhash64(other, F.lit(i), F.substring(F.col("line"), at + 1, length)))
-                out.append(F.struct(key.alias("key"), F.lit(delta == 0 and shift == 0).alias("indexed")))
-    return F.filter(F.array(*out), lambda k: k["key"].isNotNull())
+                if delta == 0 and shift == 0:
+                    own.append(len(keys))
+                keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring(F.col("line"), at + 1, length))))
+    return keys, own
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row for each line that can go: d1, d2 (its digest), at (its place) and the line."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
-    return rows.select(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), F.col("line")).alias("d2"), F.struct("doc_id", "th", "no").alias("at"), "line")
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds k and th, which tell documents apart: the id (the least number if there is none) and a hash of the text."""
+    return docs.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("th", F.xxhash64("text"))
 
 
-def near_lines(different: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """d1, d2 of the different lines (d1, d2, at, line) that an earlier one is within the threshold of."""
-    keyed = different.select("d1", "d2", F.inline(_keys(threshold, min_chars)))
+def first_lines(named: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """k, th and nos: the numbers of the lines of each document that no earlier line equals, of those that can go."""
+    lines = named.select("k", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
+    digests = lines.select(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), F.col("line")).alias("d2"), "k", "th", "no")
+    first = digests.groupBy("d1", "d2").agg(F.min(F.struct("k", "th", "no")).alias("at"))
+    return first.groupBy("at.k", "at.th").agg(F.collect_list("at.no").alias("nos"))
+
+
+def near_lines(different: DataFrame, lines_of, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """k, th, no of the different lines (k, th, no, line) that an earlier one is within the threshold of.
+
+    lines_of gives the lines that rows (k, th, no) name.
+    """
+    lines = different.withColumn("d", F.xxhash64("line"))
+    keys, own = _keys(threshold, min_chars)
+    keyed = lines.select("d", "line", F.length("line").alias("n")).select("d", F.posexplode(F.array(*keys)).alias("i", "key")).where("key IS NOT NULL").withColumn("indexed", F.col("i").isin(own)).drop("i")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("found")).where("n > 1 AND found").select("key", F.expr(f"int(n div {TILE}) + 1").alias("tiles"))
-    met = keyed.join(shared, "key").join(different, ["d1", "d2"])
+    # Few lines share a key with another: those are looked up in their documents, so that no other text moves.
+    met = keyed.join(shared, "key").join(lines.select("d", "k", "th", "no"), "d")
+    met = met.join(lines_of(met.select("k", "th", "no")), ["k", "th", "no"]).withColumn("at", F.struct("k", "th", "no"))
     # A tile holds some of the lines under a key; a probing line meets every tile of its key.
-    tiles = met.where("indexed").groupBy("key", F.expr("int(pmod(d2, tiles))").alias("tile")).agg(F.collect_list(F.struct("at", "line")).alias("held"))
-    probes = met.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "d1", "d2", "at", "line")
+    tiles = met.where("indexed").groupBy("key", F.expr("int(pmod(d, tiles))").alias("tile")).agg(F.collect_list(F.struct("at", "line")).alias("held"))
+    probes = met.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "at", "line")
     close = F.exists("held", lambda h: (h["at"] < F.col("at")) & (F.levenshtein(h["line"], F.col("line"), threshold) >= 0))
-    return probes.join(tiles, ["key", "tile"]).where(close).select("d1", "d2").distinct()
+    return probes.join(tiles, ["key", "tile"]).where(close).select("at.*").distinct()
+
+
+def kept_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """k, th and nos: the numbers of the lines, of those that can go, that stay."""
+    first = settle(first_lines(named, min_chars))
 
+    def lines_of(rows: DataFrame) -> DataFrame:
+        nos = rows if "nos" in rows.columns else rows.groupBy("k", "th").agg(F.collect_set("no").alias("nos"))
+        numbered = named.join(nos, ["k", "th"]).select("k", "th", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
+        return numbered.select("k", "th", "no", F.get("lines", F.col("no")).alias("line"))
 
-def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, th (hash of the text) and nos: the numbers of the lines, of those that can go, that stay."""
-    different = _lines(docs, min_chars).groupBy("d1", "d2").agg(F.min(F.struct("at", "line")).alias("first")).select("d1", "d2", "first.*")
-    stays = different.join(near_lines(different, threshold, min_chars), ["d1", "d2"], "left_anti")
-    return stays.groupBy("at.doc_id", "at.th").agg(F.array_sort(F.collect_list("at.no")).alias("nos"))
+    near = near_lines(lines_of(first), lines_of, threshold, min_chars)
+    gone = near.groupBy("k", "th").agg(F.collect_list("no").alias("gone"))
+    left = F.when(F.col("gone").isNull(), F.col("nos")).otherwise(F.array_except("nos", "gone"))
+    return first.join(gone, ["k", "th"], "left").select("k", "th", F.array_sort(left).alias("nos"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -69,11 +92,11 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     Lines end at a line feed; the remaining ones are joined by line feeds. Null texts stay null and have no lines, an
     empty text has one. Rows that repeat a doc_id and its text are one document. An empty table gives an empty table.
     """
-    if clash := {"n_lines", "n_removed", "th", "nos"} & set(docs.columns):
+    if clash := {"n_lines", "n_removed", "k", "th", "nos"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are the operator's own")
-    nos = kept_lines(docs.select("doc_id", "text"), threshold, min_chars).select(F.col("doc_id").alias("__id"), "th", "nos")
-    mine = docs.withColumn("__th", F.xxhash64("text"))
-    joined = mine.join(nos, mine.doc_id.eqNullSafe(nos["__id"]) & (mine["__th"] == nos.th), "left")
+    # The id is taken from k afterwards, so that all steps ask for the same columns and share one shuffle of the texts.
+    named = _named(docs).drop("doc_id")
+    joined = named.join(kept_lines(named.select("text", "k", "th"), threshold, min_chars), ["k", "th"], "left").withColumn("doc_id", F.when(F.col("k") != -(1 << 63), F.col("k")))
     lines = F.split("text", "\n")
     short = F.filter(F.transform("__lines", lambda x, i: F.when(F.length(x) < min_chars, i)), lambda i: i.isNotNull())
     left = F.array_sort(F.concat(short, F.coalesce("nos", F.expr("CAST(array() AS array<int>)"))))
