@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .spans import Bytes, remove_repeats
 
-#: Symbols that an extension compares at a time, and windows that are searched at a time.
-STEP, MANY = 64, 1 << 17
+#: Symbols that an extension compares at a time, windows that are searched at a time, and windows of a piece of a span
+#: (where a text repeats itself in short periods, a match only extends by one of them).
+STEP, MANY, PIECE = 64, 1 << 17, 64
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -96,8 +97,8 @@ class RunIndex:
         return depth, place
 
     def add(self, doc: int, lo: int, hi: int) -> None:
-        """Look at the windows of a document that start from lo to hi."""
-        self.spans.append((doc, lo, hi))
+        """Look at the windows of a document that start from lo to hi, in pieces that are searched side by side."""
+        self.spans += [(doc, a, min(hi, a + PIECE - 1)) for a in range(lo, hi + 1, PIECE)]
 
     def matches(self, unit: Bytes):
         """doc, first and last start of runs of windows that the passages hold."""
@@ -145,17 +146,3 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents without byte strings of 100 that came before."""
     out = dedup_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), texts_too=False)
     return out.select("doc_id", out.n.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
-
-
-OP3_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, k, substring(h, 2 * k + 1, 200) AS win FROM (SELECT doc_id, h, unnest(range(n - 99)) AS k FROM d WHERE n >= 100)),
-again AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS nth FROM w) WHERE nth > 1),
-gone AS (SELECT DISTINCT doc_id, k + shift AS k FROM again, range(100) AS r(shift)),
-spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before <> k - 1) AS n_spans
-          FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone) GROUP BY doc_id),
-kept AS (SELECT doc_id, string_agg(substring(h, 2 * k + 1, 2), '' ORDER BY k) AS h
-         FROM (SELECT doc_id, h, unnest(range(n)) AS k FROM d) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
-FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
-"""
