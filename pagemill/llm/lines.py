@@ -77,8 +77,10 @@ def kept_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
     def lines_of(rows: DataFrame) -> DataFrame:
         nos = rows if "nos" in rows.columns else rows.groupBy("k", "th").agg(F.collect_set("no").alias("nos"))
-        numbered = named.join(nos, ["k", "th"]).select("k", "th", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
-        return numbered.select("k", "th", "no", F.get("lines", F.col("no")).alias("line"))
+        split = named.join(nos, ["k", "th"]).select("k", "th", "nos", F.split("text", "\n").alias("lines"))
+        # The generator makes the rows, so that none of them carries the whole text.
+        own = F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(F.col("lines"), i).alias("line")))
+        return split.select("k", "th", F.inline(own))
 
     near = near_lines(lines_of(first), lines_of, threshold, min_chars)
     gone = near.groupBy("k", "th").agg(F.collect_list("no").alias("gone"))
