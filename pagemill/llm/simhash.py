@@ -77,12 +77,14 @@ def _forest(distance: int, lanes: int):
     def links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(key)
         root = np.arange(n)
+        run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        apart = np.bincount(run) - 1  # links that each key still lacks to be connected
         u, v = [], []
         active, step = np.arange(n), 0
         while True:
             step += 1
             active = active[active + step < n]
-            active = active[key[active] == key[active + step]]
+            active = active[(key[active] == key[active + step]) & (apart[run[active]] > 0)]
             if not len(active):
                 break
             near = active[np.bitwise_count(fp[active] ^ fp[active + step]).sum(axis=1) <= distance]
@@ -97,6 +99,7 @@ def _forest(distance: int, lanes: int):
                     b = root[b]
                 if a != b:
                     root[max(a, b)] = min(a, b)
+                    apart[run[i]] -= 1
                     u.append(i)
                     v.append(i + step)
             if len(near):
@@ -179,38 +182,106 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For the pipeline: fingerprints of 256 bits over five-word shingles. Two sets with Jaccard similarity J differ, on
-#: average, in arccos(2J / (1 + J)) / pi of the bits: 0.1515 at J = 0.8, so 39 of 256.
-LANES, WORDS, NEAR = 4, 5, 39
+#: For the pipeline: groups of documents whose sets of five-word shingles have a Jaccard similarity of 4/5 or more.
+LANES, WORDS = 4, 5
+#: Fingerprints of 256 bits (each shingle once) only screen candidates. At 4/5 or more a bit differs with a probability of
+#: at most 0.1875 (sets of 4 and 5; 0.15 for large ones), so 88 differing bits are over six standard deviations off.
+BOUND = 88
+#: Documents and bytes of text of a tile in which candidates are verified.
+TILE_DOCS, TILE_BYTES = 2048, 1 << 24
 
 
-def _banded(nodes: DataFrame, width: int) -> DataFrame:
-    """One row for each block of ``width`` bits; blocks start anew in each lane and overlap so as to cover it evenly."""
-    starts = [(lane, round(i * (64 - width) / 3)) for lane in range(LANES) for i in range(4)] if width < 64 else [(lane, 0) for lane in range(LANES)]
-    keys = F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned(F.col("fp")[lane], at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))) for i, (lane, at) in enumerate(starts)))
-    return nodes.select(F.explode(keys).alias("key"), "node", "fp")
+def _shingles(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WORDS))
+
+
+def _sets(batches):
+    """doc_id, th, node (a hash of the set), fp and prefix: the least n - ceil(4n/5) + 1 of n shingles.
+
+    Two sets with a similarity of 4/5 or more share at least ceil(4n/5) shingles, so the least one that they share is in
+    both prefixes (Chaudhuri et al., 2006; Bayardo et al., 2007).
+    """
+    import pyarrow as pa
+    import xxhash
+
+    for batch in batches:
+        node, fp, prefix = [], [np.zeros(0, np.uint64)], []
+        for text in binary(batch, "text"):
+            own = _shingles(text)
+            n = len(own)
+            node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            fp.append(fold(own, LANES))
+            prefix.append(own[: n - -(-4 * n // 5) + 1].view(np.int64))
+        prints = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fp).view(np.int64)), LANES).cast(pa.list_(pa.int64()))
+        columns = [batch.column("doc_id"), batch.column("th"), pa.array(np.array(node, np.uint64).view(np.int64)), prints, pa.array(prefix, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "fp", "prefix"])
+
+
+def _shared(batches):
+    """Of rows in the order of key, those whose key is held by more than one; a row is held back until the next is known."""
+    import pyarrow as pa
+
+    key, node, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in _with_end(batches):
+        if batch is not None:
+            key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+            node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
+        if not len(key):
+            continue
+        upto = len(key) - (batch is not None)
+        like = np.concatenate([[seen], key[1:] == key[:-1], [False]])
+        keep = (like[:-1] | like[1:])[:upto]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:upto][keep]), pa.array(node[:upto][keep])], ["key", "node"])
+        key, node, seen = key[upto:], node[upto:], bool(like[upto])
+
+
+def _verify(group):
+    """Edges that connect all documents of a pair of tiles whose exact similarity is 4/5 or more, and no others."""
+    import pyarrow as pa
+
+    node, tile = group.column("node").to_numpy(), group.column("tile").to_numpy()
+    sets = [_shingles(t or b"") for t in group.column("text").cast(pa.large_binary()).to_pylist()]
+    fp = np.stack([fold(x, LANES) for x in sets])
+    size = np.array([len(x) for x in sets])
+    label, u, v = np.arange(len(sets)), [], []
+    across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()  # pairs inside a tile are compared on their own
+    for i in range(len(sets) - 1):
+        near = (label[i + 1 :] != label[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i]))
+        if across:
+            near &= tile[i + 1 :] != tile[i]
+        rest = np.flatnonzero(near) + i + 1
+        for j in rest[np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1) <= BOUND].tolist():
+            if label[j] != label[i] and 9 * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= 4 * (size[i] + size[j]):
+                label[label == label[j]] = label[i]
+                u.append(node[i])
+                v.append(node[j])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of near-duplicates: five words, similarity estimated at 0.8 or more by 256-bit fingerprints.
+    """doc_id and component_id of near-duplicates: the least doc_id reached over pairs whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more.
 
-    Pairs that share one of 16 blocks are compared in full. Blocks are 16 bits wide, wider as the corpus grows; keys held
-    by more than HOT fingerprints are compared under blocks twice as wide made of two neighbours.
+    Pairs that can be so similar share a shingle of their prefixes, whatever the size of the corpus. Fingerprints screen
+    those, which gives components of candidates; inside these the sets are compared exactly, tile by tile.
     """
-    prints = settle(fingerprints(docs, WORDS, LANES))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("fp")))
-    n = nodes.count()
-    width = 16 if n <= 1 << 24 else 20 if n <= 1 << 30 else 24
-    edges, left = None, nodes.select("node", "fp")
-    for bits in (width, 32, 64):
-        keyed = _banded(left, bits)
-        hot = settle(keyed.groupBy("key").count().where(F.col("count") > HOT).select("key"))
-        found = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forest(NEAR, LANES), "u long, v long")
-        edges = found if edges is None else edges.unionByName(found)
-        if not hot.head(1):
-            break
-        left = settle(keyed.join(hot, "key", "left_semi").select("node", "fp").distinct())
-    rooted = components(edges)
-    placed = nodes.join(rooted, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    prints = settle(docs.mapInArrow(_sets, "doc_id long, th long, node long, fp array<long>, prefix array<long>"))
+    nodes = settle(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    keyed = nodes.select(F.explode("prefix").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    shared = settle(keyed.mapInArrow(_shared, "key long, node long"))
+    met = shared.join(nodes.select("node", "fp"), "node")
+    maybe = components(met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forest(BOUND, LANES), "u long, v long"))
+
+    members = nodes.select("node", "th").join(maybe, "node")
+    texts = docs.select("th", "text").join(members, "th").groupBy("node", "root").agg(F.first("text").alias("text"))
+    texts = settle(texts.withColumn("text", F.coalesce("text", F.lit(""))))
+    total = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    tiles = total.select("root", F.expr(f"int(greatest(n div {TILE_DOCS}, bytes div {TILE_BYTES})) + 1").alias("tiles"))
+    dealt = texts.join(tiles, "root").withColumn("tile", F.expr("int(pmod(xxhash64(node), tiles))")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    dealt = dealt.select("root", "node", "tile", "text", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    rooted = components(dealt.groupBy("root", "lo", "hi").applyInArrow(_verify, "u long, v long"))
+
+    placed = nodes.select("node", "least").join(rooted, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(placed.select("node", "root").join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

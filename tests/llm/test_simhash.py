@@ -84,3 +84,32 @@ def test_near_groups(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts + near)]
     got = dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {i: i if i < 40 else i - 40 for i in range(60)}
+
+
+def _brute_groups(rows):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 9 >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return {d: rows[r][0] for (d, _), r in zip(rows, root)}
+
+
+def _around_the_threshold(seed, pairs, sizes=(5, 9, 20, 60, 300)):
+    """Texts, each with one that shares 0.76 to 0.86 of the shingles, cut at the end."""
+    rng, rows = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for _ in range(pairs):
+        n, j = rng.choice(sizes), rng.uniform(0.76, 0.86)
+        text, m = [word() for _ in range(n + 4)], max(1, round(n * (1 - j) / (1 + j)))
+        rows += [" ".join(text), " ".join([*text[:-m], *(word() for _ in range(m))])]
+    return list(enumerate(rows))
+
+
+def test_near_groups_are_whole_at_the_threshold(spark):
+    rows = _around_the_threshold(11, 150)
+    want = _brute_groups(rows)
+    assert 30 < sum(d != c for d, c in want.items()) < 120
+    assert dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
