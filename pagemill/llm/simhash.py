@@ -217,22 +217,28 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "fp", "prefix"])
 
 
-def _shared(batches):
-    """Of rows in the order of key, those whose key is held by more than one; a row is held back until the next is known."""
-    import pyarrow as pa
+def _shared(hot: int):
+    """Of rows in the order of key, those whose key is held by more than one, and their tile of ``hot`` rows of the key."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    key, node, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for batch in _with_end(batches):
-        if batch is not None:
-            key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-            node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
-        if not len(key):
-            continue
-        upto = len(key) - (batch is not None)
-        like = np.concatenate([[seen], key[1:] == key[:-1], [False]])
-        keep = (like[:-1] | like[1:])[:upto]
-        yield pa.RecordBatch.from_arrays([pa.array(key[:upto][keep]), pa.array(node[:upto][keep])], ["key", "node"])
-        key, node, seen = key[upto:], node[upto:], bool(like[upto])
+        key, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # before: rows of the first key already seen
+        for batch in _with_end(batches):
+            if batch is not None:
+                key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+                node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
+            if not len(key):
+                continue
+            upto = len(key) - (batch is not None)  # the last row waits until the next is known
+            like = np.concatenate([[before > 0], key[1:] == key[:-1], [False]])
+            start = np.maximum.accumulate(np.where(like[:-1], 0, np.arange(len(key))))
+            within = np.arange(len(key)) - start + np.where(start == 0, before, 0)
+            keep = (like[:-1] | like[1:])[:upto]
+            yield pa.RecordBatch.from_arrays([pa.array(key[:upto][keep]), pa.array(node[:upto][keep]), pa.array((within[:upto][keep] // hot).astype(np.int32))], ["key", "node", "tile"])
+            key, node, before = key[upto:], node[upto:], int(within[upto]) if upto < len(key) else 0
+
+    return run
 
 
 def _verify(group):
@@ -262,15 +268,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of near-duplicates: the least doc_id reached over pairs whose sets of five-word shingles
     have a Jaccard similarity of 0.8 or more.
 
-    Pairs that can be so similar share a shingle of their prefixes, whatever the size of the corpus. Fingerprints screen
+    Pairs that can be so similar share a shingle of their prefixes, whatever the size of the corpus, and are compared there
+    however many hold it: a key's rows are cut into tiles of HOT, and every two tiles meet. Fingerprints screen
     those, which gives components of candidates; inside these the sets are compared exactly, tile by tile.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     prints = settle(docs.mapInArrow(_sets, "doc_id long, th long, node long, fp array<long>, prefix array<long>"))
     nodes = settle(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
     keyed = nodes.select(F.explode("prefix").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    shared = settle(keyed.mapInArrow(_shared, "key long, node long"))
-    met = shared.join(nodes.select("node", "fp"), "node")
+    shared = settle(keyed.mapInArrow(_shared(HOT), "key long, node long, tile int"))
+    # Every tile of a key meets every other (and itself), so that none is left out and no task compares more than two.
+    last = shared.where("tile > 0").groupBy("key").agg(F.max("tile").alias("last"))
+    met = shared.join(last, "key", "left").withColumn("other", F.explode(F.expr("sequence(0, coalesce(last, 0))")))
+    met = met.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "node").join(nodes.select("node", "fp"), "node")
     maybe = components(met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forest(BOUND, LANES), "u long, v long"))
 
     members = nodes.select("node", "th").join(maybe, "node")

@@ -113,3 +113,20 @@ def test_near_groups_are_whole_at_the_threshold(spark):
     want = _brute_groups(rows)
     assert 30 < sum(d != c for d, c in want.items()) < 120
     assert dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_near_groups_with_crowded_keys(spark, monkeypatch):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(104)], []
+    for i in range(60):  # a chain of copies, each changed at another place, and some that only look alike
+        text = list(base)
+        for at in rng.sample(range(104), rng.choice((1, 2, 3, 4))):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    rows += [(60 + i, t) for i, t in _around_the_threshold(18, 30, (20,))]
+    want = _brute_groups(rows)
+    for hot, docs in ((7, 2048), (3, 5)):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "TILE_DOCS", docs)
+        assert dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
