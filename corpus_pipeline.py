@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import bpe, language, lines, mixing, simhash
 from pagemill.llm.common import settle
@@ -30,13 +31,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the mix."""
-    return mixing.mixed_order(docs)
+    """All documents; source becomes a struct of its name and the document's mix_slot and mix_position."""
+    placed = F.struct(F.col("source").alias("name"), "mix_slot", "mix_position").alias("source")
+    return mixing.mix(docs).select(*(placed if c == "source" else c for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether they decode to the text."""
-    return bpe.encode(docs)
+    """doc_id, n_tokens, ids, whether they decode to the text, and mix_slot and mix_position of documents that are mixed."""
+    place = ("mix_slot", "mix_position") if isinstance(docs.schema["source"].dataType, T.StructType) else ()
+    return bpe.encode(docs.select("doc_id", "text", *(F.col("source")[c].alias(c) for c in place)), keep=place)
 
 
 STAGES = [

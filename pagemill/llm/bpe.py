@@ -155,7 +155,7 @@ class Codec:
             at = stop
 
 
-def _run(vocabulary, pattern: str, full: bool):
+def _run(vocabulary, pattern: str, full: bool, keep: tuple[str, ...] = ()):
     def run(batches):
         import pyarrow as pa
 
@@ -171,7 +171,8 @@ def _run(vocabulary, pattern: str, full: bool):
                 else:
                     rows = [(n, sha(i), sha(d)) for n, i, d in codec.encode(texts[at : at + 500])]
                     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values()))], ["doc_id", *kinds])
+                kept = [batch.column(name).slice(at, 500) for name in keep]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())), *kept], ["doc_id", *kinds, *keep])
 
     return run
 
@@ -184,13 +185,14 @@ def _shared(spark: SparkSession, path: str | None, pattern: str | None):
         return spark.sparkContext.broadcast(f.read()), pattern or public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip (the decoded bytes are the text's) of every whole text.
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip (the decoded bytes are the text's) of every whole text, and the columns to keep.
 
     Null and empty texts have no ids. Strings of special tokens are ordinary text. Rows are independent of each other.
     """
     vocabulary, pattern = _shared(docs.sparkSession, path, pattern)
-    return docs.select("doc_id", "text").mapInArrow(_run(vocabulary, pattern, True), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    kept = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(_run(vocabulary, pattern, True, keep), f"doc_id long, n_tokens long, ids array<int>, round_trip boolean{kept}")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

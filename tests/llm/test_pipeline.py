@@ -22,3 +22,13 @@ def test_edges(spark, docs, corpus):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), corpus[1]).count() == 0
         assert stage(spark, docs, corpus[0]).count() > 0
+
+
+def test_the_mix_reaches_the_result(spark, docs):
+    from pagemill.llm import mixing
+
+    texts = docs.where("doc_id <> 7 AND doc_id <> 8 AND doc_id <> 9")
+    mixed = corpus_pipeline.tokens(spark, corpus_pipeline.mix_sources(spark, texts, ""), "")
+    want = sorted((r.doc_id, r.mix_slot, r.mix_position) for r in mixing.mix(texts).collect())
+    assert sorted((r.doc_id, r.mix_slot, r.mix_position) for r in mixed.collect()) == want
+    assert mixed.columns != corpus_pipeline.tokens(spark, texts, "").columns
