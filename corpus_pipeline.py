@@ -33,7 +33,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; source becomes a struct of its name and the document's mix_slot and mix_position."""
     placed = F.struct(F.col("source").alias("name"), "mix_slot", "mix_position").alias("source")
-    return mixing.mix(docs).select(*(placed if c == "source" else c for c in docs.columns))
+    return mixing.mix(docs, resolution=None).select(*(placed if c == "source" else c for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

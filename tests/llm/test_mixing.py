@@ -1,4 +1,6 @@
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,3 +56,41 @@ def test_deviation_at_scale(spark):
         if any(seen[s] == sizes[s] for s in sizes):  # the first source has run out: another phase
             break
     assert t > 100
+
+
+@given(st.dictionaries(st.text("abcdefgh", min_size=1, max_size=2), st.floats(0.001, 1000), min_size=1, max_size=12))
+@settings(max_examples=30, deadline=None)
+def test_schedule_stays_within_a_block_of_the_target_weights(weights):
+    total, seen = sum(map(Fraction, weights.values())), Counter()
+    for t, (s, block) in enumerate(islice(mixing.schedule(dict.fromkeys(weights, 10**9), weights), 5000), 1):
+        assert block == seen[s]
+        seen[s] += 1
+        if t % 7 == 0 or t > 4900:
+            assert all(abs(seen[x] - t * Fraction(w) / total) < 1 for x, w in weights.items())
+
+
+def test_op1_follows_the_target_weights(spark, tmp_path):
+    # One hot source beside 1,200 of one row each: more than the resolution, and far from whole thousandths.
+    df = spark.range(91_200).selectExpr("id AS doc_id", "concat('s', greatest(id - 89999, 0)) AS source")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mixing.op1_mix_sources(spark, str(tmp_path)).select("source", "mix_block", "mix_slot").distinct().orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in rows] == list(range(1407 + 1200))
+    assert all(r.mix_block == 0 for r in rows if r.source != "s0")
+    share = 300 / 1500
+    hot = 0
+    for t, r in enumerate(rows, 1):
+        hot += r.source == "s0"
+        if r.source != "s0":  # the first small source has run out: another phase
+            break
+        assert abs(hot - t * share) < 1
+    assert sorted(r.mix_block for r in rows if r.source == "s0") == list(range(1407))
+
+
+def test_three_equal_sources(spark):
+    df = spark.range(60_000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source")
+    rows = mixing.mix(df, block_rows=5, resolution=None).select("source", "mix_slot").distinct().orderBy("mix_slot").collect()
+    seen = Counter()
+    for t, r in enumerate(rows, 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - t / 3) < 1 for s in ("s0", "s1", "s2"))
+    assert t == 12_000

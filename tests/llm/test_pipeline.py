@@ -29,6 +29,6 @@ def test_the_mix_reaches_the_result(spark, docs):
 
     texts = docs.where("doc_id <> 7 AND doc_id <> 8 AND doc_id <> 9")
     mixed = corpus_pipeline.tokens(spark, corpus_pipeline.mix_sources(spark, texts, ""), "")
-    want = sorted((r.doc_id, r.mix_slot, r.mix_position) for r in mixing.mix(texts).collect())
+    want = sorted((r.doc_id, r.mix_slot, r.mix_position) for r in mixing.mix(texts, resolution=None).collect())
     assert sorted((r.doc_id, r.mix_slot, r.mix_position) for r in mixed.collect()) == want
     assert mixed.columns != corpus_pipeline.tokens(spark, texts, "").columns
