@@ -20,8 +20,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that came earlier, equal or nearly so; n_chars follows."""
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the lines that came earlier: equal at any length but zero, or nearly so; n_chars follows."""
+    return lines.dedup_lines(docs, exact_chars=1).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 A line goes if an earlier line of the corpus (smaller doc_id, then text hash, then line number) is equal or within
-``threshold`` edits; lines of under ``MIN_CHARS`` code points always stay. What is earlier is judged on the input, so a
+``threshold`` edits; lines of under ``min_chars`` code points go only if equal, and stay if under ``exact_chars``. What is earlier is judged on the input, so a
 line goes even if the earlier one goes too.
 
 Different lines are cut into threshold + 1 even segments. Lines within the threshold share one whole segment, at a place
@@ -71,9 +71,9 @@ def near_lines(different: DataFrame, lines_of, threshold: int = THRESHOLD, min_c
     return probes.join(tiles, ["key", "tile"]).where(close).select("at.*").distinct()
 
 
-def kept_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """k, th and nos: the numbers of the lines, of those that can go, that stay."""
-    first = settle(first_lines(named, min_chars))
+    first = settle(first_lines(named, min_chars if exact_chars is None else exact_chars))
 
     def lines_of(rows: DataFrame) -> DataFrame:
         nos = rows if "nos" in rows.columns else rows.groupBy("k", "th").agg(F.collect_set("no").alias("nos"))
@@ -82,15 +82,18 @@ def kept_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
         own = F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(F.col("lines"), i).alias("line")))
         return split.select("k", "th", F.inline(own))
 
-    near = near_lines(lines_of(first), lines_of, threshold, min_chars)
+    near = near_lines(lines_of(first).where(F.length("line") >= min_chars), lines_of, threshold, min_chars)
     gone = near.groupBy("k", "th").agg(F.collect_list("no").alias("gone"))
     left = F.when(F.col("gone").isNull(), F.col("nos")).otherwise(F.array_except("nos", "gone"))
     return first.join(gone, ["k", "th"], "left").select("k", "th", F.array_sort(left).alias("nos"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the text that stays, n_lines and n_removed.
 
+    Lines of ``exact_chars`` (min_chars unless given) code points or more go if an earlier one is equal, those of
+    ``min_chars`` or more also if one is near.
+
     Lines end at a line feed; the remaining ones are joined by line feeds. Null texts stay null and have no lines, an
     empty text has one. Rows that repeat a doc_id and its text are one document. An empty table gives an empty table.
     """
@@ -98,9 +101,9 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
         raise ValueError(f"columns {sorted(clash)} are the operator's own")
     # The id is taken from k afterwards, so that all steps ask for the same columns and share one shuffle of the texts.
     named = _named(docs).drop("doc_id")
-    joined = named.join(kept_lines(named.select("text", "k", "th"), threshold, min_chars), ["k", "th"], "left").withColumn("doc_id", F.when(F.col("k") != -(1 << 63), F.col("k")))
+    joined = named.join(kept_lines(named.select("text", "k", "th"), threshold, min_chars, exact_chars), ["k", "th"], "left").withColumn("doc_id", F.when(F.col("k") != -(1 << 63), F.col("k")))
     lines = F.split("text", "\n")
-    short = F.filter(F.transform("__lines", lambda x, i: F.when(F.length(x) < min_chars, i)), lambda i: i.isNotNull())
+    short = F.filter(F.transform("__lines", lambda x, i: F.when(F.length(x) < (min_chars if exact_chars is None else exact_chars), i)), lambda i: i.isNotNull())
     left = F.array_sort(F.concat(short, F.coalesce("nos", F.expr("CAST(array() AS array<int>)"))))
     return (
         joined.withColumn("__lines", lines).withColumn("__left", left)

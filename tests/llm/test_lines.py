@@ -70,3 +70,12 @@ def test_op4(spark, corpus, docs):
 def test_native(spark, docs):
     plan = lines.dedup_lines(docs).select(F.sha2("text", 256))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_short_repeats_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(1, "ab\n\na line of some length, first\nab"), (2, "abc\nab\n\na line of some length, First"), (3, "ab")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: "ab\n\na line of some length, first", 2: "abc\n", 3: ""}
