@@ -44,3 +44,15 @@ def test_no_training_data_imports():
 def test_rendering_says_what_is_missing(spark):
     with pytest.raises(Exception, match="pymupdf"):
         rendering.page_counts(spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")).collect()
+
+
+def test_every_attempt_has_its_rotation(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    for name in ("cumulative_rotation_all", "reduce_attempts"):
+        got = sorted(map(tuple, registry.QUERIES[name](spark, sf).collect()), key=str)
+        assert got == sorted(con.execute(registry.ORACLE[name]).fetchall(), key=str)
+        if name == "cumulative_rotation_all":
+            assert len(got) == spark.read.parquet(f"{sf}/events.parquet").count()
