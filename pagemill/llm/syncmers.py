@@ -1,9 +1,9 @@
 """Document fingerprints of closed syncmers.
 
 A k-mer of bytes is a closed syncmer if the least of its inner s-mers (by hash) is its first or its last. Whether it is
-depends on the k-mer alone, so an edit elsewhere never changes the choice. A fingerprint keeps, of all different
-syncmers of the whole text, the ``KEEP`` with the least hashes, each with its first position; two fingerprints are
-compared as bottom-k sketches, and positions tell where the shared anchors lie.
+depends on the k-mer alone, so an edit elsewhere never changes the choice. The anchors of a text are all its different
+syncmers, each with its first position: similarity is that of the sets, and positions tell where shared passages lie. A
+fingerprint is a digest of bounded size: the ``KEEP`` anchors with the least hashes.
 """
 
 from __future__ import annotations
@@ -42,6 +42,19 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)).astype(np.uint32), at
 
 
+def whole(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All different hashes in order, and the first position of each."""
+    h, at = anchors(text)
+    h, first = np.unique(h, return_index=True)
+    return h, at[first]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of different hashes; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 def sketch(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The least ``KEEP`` different hashes in order, and the first position of each."""
     h, at = anchors(text)
@@ -58,9 +71,14 @@ def sketch(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h[:KEEP], at[first[:KEEP]]
 
 
+def bytes_of(found: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Four bytes of hash and four of position for each anchor; ``match`` takes their hex digits."""
+    return np.stack([found[0].astype(">u4"), found[1].astype(">u4")], axis=1).astype(">u4").tobytes()
+
+
 def text_of(found: tuple[np.ndarray, np.ndarray]) -> str:
     """Eight hex digits of hash and eight of position for each anchor."""
-    return np.stack([found[0].astype(">u4"), found[1].astype(">u4")], axis=1).astype(">u4").tobytes().hex()
+    return bytes_of(found).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -72,7 +90,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def match(a: str, b: str) -> list[tuple[int, int]]:
-    """Positions in both texts of the anchors that two fingerprints share."""
+    """Positions in both texts of the anchors that two fingerprints, or two lists of all anchors, share."""
     of = lambda x: {x[i : i + 8]: int(x[i + 8 : i + 16], 16) for i in range(0, len(x), 16)}
     left, right = of(a), of(b)
     return sorted((left[h], right[h]) for h in left.keys() & right.keys())
@@ -136,19 +154,21 @@ def _compare(group):
     texts = [t or "" for t in group.column("text").slice(0, own.num_rows + 1).to_pylist()]
     if own.num_rows == len(texts):
         raise RuntimeError("a chunk lacks the document that follows it")
-    found = [sketch(t.encode()) for t in texts]
+    after = whole(texts[0].encode()) if texts else None
+    least = lambda x: text_of((x[0][:KEEP], x[1][:KEEP]))
     rows = []
     for i in range(own.num_rows):
         text, n = texts[i], len(texts[i])
         edited = (text[: n - n // 2] + texts[i + 1][: n // 2]).encode()
-        print_ = sketch(edited)
-        rows.append((n, hashlib.sha256(edited).hexdigest(), text_of(found[i]), text_of(print_), likeness(found[i][0], print_[0]), likeness(found[i][0], found[i + 1][0])))
-    kinds = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+        found, after, other = after, whole(texts[i + 1].encode()), whole(edited)
+        near = jaccard(found[0], other[0]), jaccard(found[0], after[0])
+        rows.append((n, hashlib.sha256(edited).hexdigest(), least(found), least(other), *near, bytes_of(found), bytes_of(other)))
+    kinds = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "anchors": pa.binary(), "edited_anchors": pa.binary()}
     columns = {"doc_id": own.column("doc_id"), **{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}}
     return pa.table(columns)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their texts with the last half replaced by the start of the next document."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    """Anchors and fingerprints of all documents and of their texts with the last half replaced by the start of the next document."""
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, anchors binary, edited_anchors binary"
     return with_next(table(spark, sf_dir, "documents", "doc_id", "text"), _compare, schema)

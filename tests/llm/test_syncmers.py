@@ -59,3 +59,17 @@ def test_op9(spark, corpus, docs):
 def test_corpus(spark):
     got = syncmers.op9_fingerprints(spark, "/root/testdata/sf0.01").toPandas()
     assert len(got) == 1000 and got.near_edited.mean() > 0.25 and got.near_next.mean() < 0.15
+
+
+def test_a_passage_shared_by_long_texts_is_found(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    passage, a, b, c, d = words(50), *(words(8000) for _ in range(4))
+    docs = [(1, f"{a} {passage} {b}"), (2, f"{c} {passage} {d}")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in syncmers.op9_fingerprints(spark, str(tmp_path)).collect()}
+    for i, t in docs:
+        h, at = syncmers.anchors(t.encode())
+        assert len(got[i].anchors) == 8 * len(set(h.tolist())) and len(h) > 10_000
+    shift = docs[0][1].index(passage) - docs[1][1].index(passage)
+    assert sum(p - q == shift for p, q in syncmers.match(got[1].anchors.hex(), got[2].anchors.hex())) >= 20
