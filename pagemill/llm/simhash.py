@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import binary, mix64, settle, table
 from .graph import components
+from .spans import Words
 
 HOT = 8192
 #: Blocks of the first cut by the number of fingerprints it is meant for (keys stay far fewer than one to a value).
@@ -184,83 +185,212 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: For the pipeline: groups of documents whose sets of five-word shingles have a Jaccard similarity of 4/5 or more.
 LANES, WORDS = 4, 5
-#: Fingerprints of 256 bits (each shingle once) only screen candidates. At 4/5 or more a bit differs with a probability of
-#: at most 0.1875 (sets of 4 and 5; 0.15 for large ones), so 88 differing bits are over six standard deviations off.
-BOUND = 88
-#: Documents and bytes of text of a tile in which candidates are verified.
-TILE_DOCS, TILE_BYTES = 2048, 1 << 24
-
+#: Fingerprints of 256 bits (each shingle once) only screen candidates. At 4/5 a bit differs with a probability of 0.151
+#: in large sets and of at most 0.1875 in the smallest (4 and 5): both bounds lie six standard deviations or more above.
+BOUND, BOUND_SMALL, SMALL = 74, 88, 64
+#: Nodes of a key that are screened pair by pair; beyond, neighbours in size are candidates unseen.
+CROWD = 2048
+#: Documents and bytes of text of a tile in which candidates are verified, and representatives that every tile sees.
+TILE_DOCS, TILE_BYTES, REPRESENTATIVES = 2048, 1 << 24, 16
+#: Bits of a shingle's hash that choose its counter: 2**18 counters, 1 MB, whatever the corpus holds.
+COUNTERS = 18
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The different five-word shingles of each text (A-Z lower-cased) as sorted hashes; fewer words: the whole sequence."""
+    out = []
+    for value, _, _ in Words([t.lower() for t in texts]).words:
+        n = min(WORDS, len(value))
+        h = np.full(len(value) - n + 1 if n else 0, n, np.uint64)
+        for i in range(n):
+            h = mix64(h + value[i : i + len(h)])
+        out.append(np.unique(h))
+    return out
+
+
+def _tally(batches):
+    """Counters of the shingles of a partition's texts, in slabs."""
+    import pyarrow as pa
 
-def _shingles(text: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(text, WORDS))
+    total = np.zeros(1 << COUNTERS, np.int64)
+    for batch in batches:
+        waiting, n = [], 0
+        for own in [*shingle_sets(binary(batch, "text")), None]:
+            if own is not None:
+                waiting.append(own)
+                n += len(own)
+            if waiting and (own is None or n > 1 << COUNTERS):
+                total += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+                waiting, n = [], 0
+    slabs = total.reshape(16, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in slabs], pa.binary())], ["slab", "counts"])
+
+
+def _summed(group):
+    import pyarrow as pa
 
+    total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
+    return pa.table({"slab": group.column("slab").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-def _sets(batches):
-    """doc_id, th, node (a hash of the set), fp and prefix: the least n - ceil(4n/5) + 1 of n shingles.
 
-    Two sets with a similarity of 4/5 or more share at least ceil(4n/5) shingles, so the least one that they share is in
-    both prefixes (Chaudhuri et al., 2006; Bayardo et al., 2007).
-    """
-    import pyarrow as pa
-    import xxhash
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur in all texts: what the driver gets has a fixed size."""
+    tallied = docs.select("text").mapInArrow(_tally, "slab int, counts binary")
+    # Tasks are added up in groups first, so that no group grows with their number beyond its root.
+    dealt = tallied.withColumn("part", F.expr("spark_partition_id() div 64"))
+    first = dealt.groupBy("slab", "part").applyInArrow(_summed, "slab int, counts binary")
+    rows = first.groupBy("slab").applyInArrow(_summed, "slab int, counts binary").toArrow().sort_by("slab")
+    return np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()] or [np.zeros(1 << COUNTERS, np.int64)])
 
-    for batch in batches:
-        node, fp, prefix = [], [np.zeros(0, np.uint64)], []
-        for text in binary(batch, "text"):
-            own = _shingles(text)
-            n = len(own)
-            node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-            fp.append(fold(own, LANES))
-            prefix.append(own[: n - -(-4 * n // 5) + 1].view(np.int64))
-        prints = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fp).view(np.int64)), LANES).cast(pa.list_(pa.int64()))
-        columns = [batch.column("doc_id"), batch.column("th"), pa.array(np.array(node, np.uint64).view(np.int64)), prints, pa.array(prefix, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "fp", "prefix"])
 
+def _sets(counts):
+    """doc_id, th, node (a hash of the set), size, fp and prefix: the n - ceil(4n/5) + 1 rarest of n shingles.
 
-def _shared(hot: int):
-    """Of rows in the order of key, those whose key is held by more than one, and their tile of ``hot`` rows of the key."""
+    Two sets with a similarity of 4/5 or more share at least ceil(4n/5) shingles, so in any common order the first one
+    that they share is in both prefixes (Chaudhuri et al., 2006; Bayardo et al., 2007). With rare shingles first, passages
+    that many documents share are in no prefix but of documents that hold little else.
+    """
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
-        key, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # before: rows of the first key already seen
-        for batch in _with_end(batches):
-            if batch is not None:
-                key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-                node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
-            if not len(key):
-                continue
-            upto = len(key) - (batch is not None)  # the last row waits until the next is known
-            like = np.concatenate([[before > 0], key[1:] == key[:-1], [False]])
-            start = np.maximum.accumulate(np.where(like[:-1], 0, np.arange(len(key))))
-            within = np.arange(len(key)) - start + np.where(start == 0, before, 0)
-            keep = (like[:-1] | like[1:])[:upto]
-            yield pa.RecordBatch.from_arrays([pa.array(key[:upto][keep]), pa.array(node[:upto][keep]), pa.array((within[:upto][keep] // hot).astype(np.int32))], ["key", "node", "tile"])
-            key, node, before = key[upto:], node[upto:], int(within[upto]) if upto < len(key) else 0
+        often = counts.value
+        for batch in batches:
+            node, size, fp, prefix = [], [], [np.zeros(0, np.uint64)], []
+            for own in shingle_sets(binary(batch, "text")):
+                n = len(own)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                size.append(n)
+                fp.append(fold(own, LANES))
+                rare = np.lexsort((own, often[(own >> np.uint64(64 - COUNTERS)).astype(np.int64)]))
+                prefix.append(own[rare[: n - -(-4 * n // 5) + 1]].view(np.int64))
+            prints = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fp).view(np.int64)), LANES).cast(pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), prints, pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "size", "fp", "prefix"])
 
     return run
 
 
+def _shared(batches):
+    """Of rows in the order of key, those whose key is held by more than one."""
+    import pyarrow as pa
+
+    key, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # before: the key of the last row passed on
+    for batch in _with_end(batches):
+        if batch is not None:
+            key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+            node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
+        if not len(key):
+            continue
+        upto = len(key) - (batch is not None)  # the last row waits until the next is known
+        like = np.concatenate([[before is not None and key[0] == before], key[1:] == key[:-1], [False]])
+        keep = (like[:-1] | like[1:])[:upto]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:upto][keep]), pa.array(node[:upto][keep])], ["key", "node"])
+        before = key[upto - 1] if upto else before
+        key, node = key[upto:], node[upto:]
+
+
+def _candidates(batches):
+    """From rows in the order of key and size, edges that connect whatever can be similar enough under one key."""
+    import pyarrow as pa
+
+    def links(key, size, fp, crowded):
+        n = len(key)
+        run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        many = np.bincount(run)
+        chained = many > CROWD
+        chained[0] |= crowded
+        following = np.flatnonzero((key[1:] == key[:-1]) & chained[run[1:]] & (5 * size[:-1] >= 4 * size[1:]))
+        u, v = [following], [following + 1]
+        root, apart = np.arange(n), np.where(chained, 0, many - 1)  # apart: links that each key still lacks to be connected
+        active, step = np.arange(n), 0
+        while True:
+            step += 1
+            active = active[active + step < n]
+            other = active + step
+            on = (key[active] == key[other]) & (apart[run[active]] > 0) & (5 * size[active] >= 4 * size[other])
+            active = active[on]
+            if not len(active):
+                break
+            bound = np.where(size[active] < SMALL, BOUND_SMALL, BOUND)
+            near = active[np.bitwise_count(fp[active] ^ fp[active + step]).sum(axis=1) <= bound]
+            near = near[root[near] != root[near + step]]
+            more = []
+            for i in near.tolist():
+                a, b = _root(root, i), _root(root, i + step)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    apart[run[i]] -= 1
+                    more.append(i)
+            if more:
+                u.append(np.array(more))
+                v.append(np.array(more) + step)
+                while (up := root[root]).tobytes() != root.tobytes():
+                    root = up
+        return np.concatenate(u), np.concatenate(v)
+
+    key, node, size, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)
+    crowded = False  # whether the first row only stands for the rows before it under a crowded key
+    for batch in _with_end(batches):
+        if batch is not None:
+            key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+            node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
+            size = np.concatenate([size, batch.column("size").to_numpy(zero_copy_only=False)])
+            fp = np.concatenate([fp, batch.column("fp").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, LANES)])
+        if not len(key):
+            continue
+        whole = int(np.searchsorted(key, key[-1])) if batch is not None else len(key)  # the last key may go on
+        goes_on = len(key) - whole > CROWD
+        upto = len(key) if goes_on else whole
+        if upto:
+            a, b = links(key[:upto], size[:upto], fp[:upto], crowded)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
+            left = upto - goes_on
+            key, node, size, fp, crowded = key[left:], node[left:], size[left:], fp[left:], goes_on
+
+
+def _root(root: np.ndarray, a: int) -> int:
+    while root[a] != a:
+        root[a] = root[root[a]]
+        a = root[a]
+    return a
+
+
 def _verify(group):
-    """Edges that connect all documents of a pair of tiles whose exact similarity is 4/5 or more, and no others."""
+    """Edges that connect all documents of a tile whose exact similarity is 4/5 or more, and no others.
+
+    Those with the same ``label`` are connected already; where some are marked ``odd``, only pairs with one of them count.
+    """
     import pyarrow as pa
 
-    node, tile = group.column("node").to_numpy(), group.column("tile").to_numpy()
-    sets = [_shingles(t or b"") for t in group.column("text").cast(pa.large_binary()).to_pylist()]
-    fp = np.stack([fold(x, LANES) for x in sets])
+    group = group.sort_by([("node", "ascending"), ("odd", "descending")])
+    node = group.column("node").to_numpy()
+    first = np.concatenate([[True], node[1:] != node[:-1]])
+    node, odd, label = node[first], group.column("odd").to_numpy()[first], group.column("label").to_numpy()[first]
+    sets = shingle_sets([t for t, one in zip(group.column("text").cast(pa.large_binary()).to_pylist(), first.tolist()) if one])
     size = np.array([len(x) for x in sets])
-    label, u, v = np.arange(len(sets)), [], []
-    across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()  # pairs inside a tile are compared on their own
-    for i in range(len(sets) - 1):
-        near = (label[i + 1 :] != label[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i]))
-        if across:
-            near &= tile[i + 1 :] != tile[i]
-        rest = np.flatnonzero(near) + i + 1
-        for j in rest[np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1) <= BOUND].tolist():
-            if label[j] != label[i] and 9 * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= 4 * (size[i] + size[j]):
-                label[label == label[j]] = label[i]
-                u.append(node[i])
-                v.append(node[j])
+    offset = np.concatenate([[0], np.cumsum(size)])
+    _, which = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(which, kind="stable")]  # of each shingle in turn
+    held = np.bincount(which)
+    begin = np.cumsum(held) - held
+    alone, u, v = not odd.any(), [], []
+    for i in np.flatnonzero(odd | alone).tolist():
+        rest = (label != label[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i]))
+        rest[: i + 1] &= ~(odd[: i + 1] | alone)  # pairs of the same kind were looked at before
+        if not rest.any():
+            continue
+        ids = which[offset[i] : offset[i + 1]]
+        n = held[ids]
+        own = np.repeat(begin[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(holders[own], minlength=len(sets))
+        near = np.flatnonzero(rest & (9 * common >= 4 * (size + size[i])))
+        joined, at = np.unique(label[near], return_index=True)
+        if len(joined):
+            u += [node[i]] * len(joined)
+            v += node[near[at]].tolist()
+            label[np.isin(label, joined)] = label[i]
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
@@ -268,30 +398,53 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of near-duplicates: the least doc_id reached over pairs whose sets of five-word shingles
     have a Jaccard similarity of 0.8 or more.
 
-    Pairs that can be so similar share a shingle of their prefixes, whatever the size of the corpus, and are compared there
-    however many hold it: a key's rows are cut into tiles of HOT, and every two tiles meet. Fingerprints screen
-    those, which gives components of candidates; inside these the sets are compared exactly, tile by tile.
+    Pairs that can be so similar share a shingle of their prefixes, whatever the size of the corpus. Under each such key
+    fingerprints screen the pairs, which gives components of candidates; a key that more than CROWD different sets hold
+    makes neighbours in size candidates without a look. Inside components the sets are compared exactly, tile by tile;
+    where a component has several tiles, representatives connect most of them, and only documents outside the largest
+    group that results are compared with all other tiles, in blocks. So no link between different texts is lost.
+
+    Null and empty texts have an empty set and are alike. Rows that repeat a doc_id or a text stay rows; rows without
+    doc_id count for links, and get the group's least doc_id or null if it has none. An empty table gives an empty table.
+    Other columns are ignored.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    prints = settle(docs.mapInArrow(_sets, "doc_id long, th long, node long, fp array<long>, prefix array<long>"))
-    nodes = settle(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    counts = spark.sparkContext.broadcast(frequencies(docs))
+    prints = settle(docs.mapInArrow(_sets(counts), "doc_id long, th long, node long, size long, fp array<long>, prefix array<long>"))
+    nodes = settle(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
     keyed = nodes.select(F.explode("prefix").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    shared = settle(keyed.mapInArrow(_shared(HOT), "key long, node long, tile int"))
-    # Every tile of a key meets every other (and itself), so that none is left out and no task compares more than two.
-    last = shared.where("tile > 0").groupBy("key").agg(F.max("tile").alias("last"))
-    met = shared.join(last, "key", "left").withColumn("other", F.explode(F.expr("sequence(0, coalesce(last, 0))")))
-    met = met.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "node").join(nodes.select("node", "fp"), "node")
-    maybe = components(met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forest(BOUND, LANES), "u long, v long"))
+    met = keyed.mapInArrow(_shared, "key long, node long").join(nodes.select("node", "size", "fp"), "node")
+    maybe = components(met.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_candidates, "u long, v long"))
 
     members = nodes.select("node", "th").join(maybe, "node")
     texts = docs.select("th", "text").join(members, "th").groupBy("node", "root").agg(F.first("text").alias("text"))
     texts = settle(texts.withColumn("text", F.coalesce("text", F.lit(""))))
     total = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    tiles = total.select("root", F.expr(f"int(greatest(n div {TILE_DOCS}, bytes div {TILE_BYTES})) + 1").alias("tiles"))
-    dealt = texts.join(tiles, "root").withColumn("tile", F.expr("int(pmod(xxhash64(node), tiles))")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    dealt = dealt.select("root", "node", "tile", "text", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    rooted = components(dealt.groupBy("root", "lo", "hi").applyInArrow(_verify, "u long, v long"))
+    tiles = total.select("root", "n", F.expr(f"int(greatest(n div {TILE_DOCS}, bytes div {TILE_BYTES})) + 1").alias("tiles"))
+    placed = texts.join(tiles, "root").withColumn("tile", F.expr("int(pmod(xxhash64(node), tiles))"))
+    everywhere = F.expr(f"IF(tiles > 1 AND pmod(xxhash64(1, node), n) < {REPRESENTATIVES}, sequence(0, tiles - 1), array(tile))")
+    plain = (F.lit(False).alias("odd"), F.col("node").alias("label"))
+    tiled = placed.select("root", "node", "text", *plain, F.explode(everywhere).alias("tile"))
+    edges = tiled.groupBy("root", "tile").applyInArrow(_verify, "u long, v long")
+    if tiles.where("tiles > 1").head(1):
+        edges = settle(edges)
+        edges = edges.unionByName(_between_tiles(placed.where("tiles > 1"), edges))
+    rooted = components(edges)
 
-    placed = nodes.select("node", "least").join(rooted, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(placed.select("node", "root").join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    grouped = nodes.select("node", "least").join(rooted, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "node").join(grouped.select("node", "root").join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def _between_tiles(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between tiles: documents that aren't in the largest group of their component so far, against all the others."""
+    found = components(edges).select("node", F.col("root").alias("label"))
+    labelled = placed.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    most = labelled.groupBy("root", "label").count().groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    labelled = labelled.join(most, "root").withColumn("odd", F.col("label") != F.col("most")).drop("most", "n")
+    blocks = labelled.where("odd").select("root", F.col("tile").alias("block")).distinct()
+    asking = labelled.where("odd").withColumn("block", F.col("tile")).withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
+    asked = labelled.join(blocks, "root").withColumn("odd", F.lit(False))
+    columns = ("root", "block", "tile", "node", "text", "odd", "label")
+    return asking.select(*columns).unionByName(asked.select(*columns)).groupBy("root", "block", "tile").applyInArrow(_verify, "u long, v long")

@@ -126,7 +126,16 @@ def test_near_groups_with_crowded_keys(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     rows += [(60 + i, t) for i, t in _around_the_threshold(18, 30, (20,))]
     want = _brute_groups(rows)
-    for hot, docs in ((7, 2048), (3, 5)):
-        monkeypatch.setattr(simhash, "HOT", hot)
+    for crowd, docs, shown in ((7, 2048, 16), (3, 5, 2), (3, 9, 0)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
         monkeypatch.setattr(simhash, "TILE_DOCS", docs)
+        monkeypatch.setattr(simhash, "REPRESENTATIVES", shown)
         assert dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_near_groups_with_odd_rows(spark, docs):
+    got = {(r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()}
+    assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (8, 7), (9, 9)} <= got
+    assert simhash.near_groups(docs).count() == docs.count() and simhash.near_groups(docs.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, "a b"), (3, "a b"), (None, "c d")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_groups(none).collect()), key=str) == [(3, 3), (None, 3), (None, None)]
