@@ -93,9 +93,9 @@ class Automaton:
                 yield doc, run, hi
 
 
-def dedup_passages(docs: DataFrame, texts_too: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, texts_too: bool = True, **options) -> DataFrame:
     """See spans.remove_repeats; symbols are words ``[^\\x20\\x09-\\x0D]+``, windows are 20 of them."""
-    return remove_repeats(docs, Words, Automaton, texts_too)
+    return remove_repeats(docs, Words, Automaton, texts_too, **options)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

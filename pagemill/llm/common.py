@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import numpy as np
@@ -21,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the folder in ``spark.checkpoint.dir``, which all executors share, and read back.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
+    Where that setting is missing, a temporary folder is used in local mode, and an error is raised on a cluster.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagemill-"))
     return df.checkpoint(eager=True)
 
 
@@ -34,6 +38,22 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most ranges that a table is cut into: their bounds (at most 2 MB) reach the driver and every task.
+RANGES = 1 << 18
+
+
+def ranges(docs: DataFrame, key: Column, total: int, size: int) -> np.ndarray:
+    """Bounds that cut ``docs`` by key into ranges of about ``size`` bytes of text (``total`` bytes in all), three for each partition at least.
+
+    A text counts by its length, so that long neighbours don't meet in one range. Beyond ``RANGES`` ranges, these grow.
+    """
+    n = min(RANGES, max(3 * parts(docs.sparkSession), math.ceil(total / size)))
+    unit = max(1, total // (16 * n))
+    weighed = docs.select(key.alias("key"), F.explode(F.array_repeat(F.lit(0), (1 + F.coalesce(F.octet_length("text"), F.lit(0)) / unit).cast("int"))))
+    at = weighed.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
+    return np.array(sorted(set(at or [])), np.int64)
+
+
 def normalised(text: Column) -> Column:
     """Each run of white space as one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

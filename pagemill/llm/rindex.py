@@ -1,9 +1,12 @@
 """Removing repeated byte strings with run-length indexes (r-index: Gagie, Navarro and Prezza, 2018).
 
 Each chunk of documents gets the passages that it shares with earlier chunks, builds their run-compressed
-Burrows-Wheeler transform with suffix-array samples at run ends, and streams its documents: a backward search of the
-window at hand gives the longest suffix of it that the passages hold, and one place where they hold it whole. From there
-the match is extended symbol by symbol; where it ends, or the search fails, the next window that can match is tried.
+Burrows-Wheeler transform with suffix-array samples at both ends of each run, and streams its documents through it from
+right to left. The state is a row of the transform, its place in the passages and the length of the longest match that
+begins at the symbol at hand (the matching statistic). A symbol that the row's run holds prolongs the match; any other
+leads to the nearest run of that symbol, before or after, whichever shares more with the match so far (Boucher et al.,
+PHONI, 2021). Only that comparison looks at the passages themselves. Where the statistic reaches the window, the window
+came before.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .spans import Bytes, remove_repeats
 
-#: Symbols that an extension compares at a time, windows that are searched at a time, and windows of a piece of a span
-#: (where a text repeats itself in short periods, a match only extends by one of them).
-STEP, MANY, PIECE = 64, 1 << 17, 64
+#: Symbols that a comparison looks at a time, symbols that are streamed at a time, and windows of a piece of a span (pieces
+#: are streamed side by side).
+STEP, MANY, PIECE = 32, 1 << 22, 448
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -55,91 +58,106 @@ class RunIndex:
     def __init__(self, passages: Bytes):
         self.window = passages.window
         end = np.zeros(1, np.uint16)
-        self.text = np.concatenate([x for t in passages.texts for x in (np.frombuffer(t, np.uint8).astype(np.uint16) + 1, end)])
-        n = self.n = len(self.text)
-        places = suffix_array(self.text)
-        bwt = self.text[places - 1]
-        start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        length = np.diff(np.concatenate([start, [n]]))
-        order = np.lexsort((start, bwt[start]))
-        self.symbol, self.start, self.length = bwt[start][order].astype(np.int64), start[order], length[order]
-        self.key = self.symbol * (n + 1) + self.start  # runs by symbol, then by place
-        self.before = np.cumsum(self.length) - self.length
-        self.sample = places[self.start + self.length - 1]
-        self.count = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=258))])
-        self.last = int(places[-1])
-        self.padded = np.concatenate([self.text, np.full(STEP + self.window, 600, np.uint16)])
+        text = np.concatenate([x for t in passages.texts for x in (np.frombuffer(t, np.uint8).astype(np.uint16) + 1, end)])
+        places = suffix_array(text)
+        bwt = text[places - 1]
+        self.start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.last = np.concatenate([self.start[1:], [len(text)]]) - 1
+        self.symbol = bwt[self.start].astype(np.int64)
+        # Rows that begin with a symbol come in the order of the rows that it stands before.
+        self.by_symbol = np.argsort(self.symbol, kind="stable")
+        self.key = self.symbol[self.by_symbol] * len(self.start) + self.by_symbol
+        size = (self.last - self.start + 1)[self.by_symbol]
+        self.target = np.empty(len(self.start), np.int64)
+        self.target[self.by_symbol] = np.cumsum(size) - size
+        self.at_start, self.at_last = places[self.start], places[self.last]
+        self.text = np.concatenate([text, np.full(STEP + self.window, 600, np.uint16)])
         self.spans: list[tuple[int, int, int]] = []
 
-    def _map(self, c: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """LF: the place of the suffixes that begin with c and go on before i; the run it was read from, and whether there is one."""
-        j = np.searchsorted(self.key, c * (self.n + 1) + i) - 1
-        known = (j >= 0) & (self.symbol[j] == c)
-        return np.where(known, self.before[j] + np.minimum(i - self.start[j], self.length[j]), self.count[c]), j, known
-
-    def search(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window of ``text``: the length of its longest suffix in the passages, and a place of that."""
-        depth, place = np.full(len(at), self.window, np.int64), np.zeros(len(at), np.int64)
-        alive = np.arange(len(at))
-        lo, hi, pos = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64), np.full(len(at), self.last, np.int64)
-        for d in range(self.window):
-            c = text[at[alive] + self.window - 1 - d].astype(np.int64)
-            low, _, _ = self._map(c, lo)
-            high, j, _ = self._map(c, hi)
-            found = low < high
-            depth[alive[~found]] = d
-            inside = hi - 1 < self.start[j] + self.length[j]
-            pos = np.where(inside, pos - 1, self.sample[j] - 1)[found]
-            lo, hi, alive = low[found], high[found], alive[found]
-            if not len(alive):
-                break
-        place[alive] = pos % self.n
-        return depth, place
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols from a and b on are the same; ``most`` or more counts as most."""
+        out, open_ = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+        while len(open_):
+            same = self.text[(a + out)[open_][:, None] + np.arange(STEP)] == self.text[(b + out)[open_][:, None] + np.arange(STEP)]
+            run = np.where(same.all(axis=1), STEP, same.argmin(axis=1))
+            out[open_] += run
+            open_ = open_[(run == STEP) & (out[open_] < most[open_])]
+        return np.minimum(out, most)
+
+    def statistics(self, text: np.ndarray, base: np.ndarray, size: np.ndarray):
+        """From right to left in the pieces text[base:base + size], longest first: places, and the matching statistic at
+        each (the window at most)."""
+        runs = len(self.start)
+        row, place, length = np.zeros(len(base), np.int64), np.full(len(base), self.at_start[0]), np.zeros(len(base), np.int64)
+        for step in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -step))  # pieces longer than this
+            row, place, length = row[:n], place[:n], length[:n]
+            at = base[:n] + size[:n] - 1 - step
+            c = text[at].astype(np.int64)
+            run = np.searchsorted(self.start, row, side="right") - 1
+            place, length = place - 1, length + 1
+            other = np.flatnonzero(self.symbol[run] != c)
+            if len(other):
+                after = np.searchsorted(self.key, c[other] * runs + run[other])
+                most, here = length[other] - 1, place[other] + 1
+                best, share, found = run[other].copy(), np.full(len(other), -1), np.zeros(len(other), bool)
+                for near, sample in ((after - 1, self.at_last), (after, self.at_start)):
+                    known = (near >= 0) & (near < runs)
+                    near = self.by_symbol[np.clip(near, 0, runs - 1)]
+                    known &= self.symbol[near] == c[other]
+                    common = np.where(known, self._common(here, sample[near], np.where(known, most, 0)), -1)
+                    better = common > share
+                    best, share = np.where(better, near, best), np.maximum(common, share)
+                    row[other[better]] = (self.last if sample is self.at_last else self.start)[near[better]]
+                    place[other[better]] = sample[near[better]] - 1
+                    found |= known
+                run[other], length[other] = best, share + 1
+                lost = other[~found]  # no passage holds the symbol
+                row[lost], place[lost], length[lost] = self.start[run[lost]], self.at_start[run[lost]], 0
+                held = np.ones(n, bool)
+                held[lost] = False
+                row = np.where(held, self.target[run] + row - self.start[run], row)
+            else:
+                row = self.target[run] + row - self.start[run]
+            length = np.minimum(length, self.window)
+            yield at, length
 
     def add(self, doc: int, lo: int, hi: int) -> None:
-        """Look at the windows of a document that start from lo to hi, in pieces that are searched side by side."""
+        """Look at the windows of a document that start from lo to hi, in pieces."""
         self.spans += [(doc, a, min(hi, a + PIECE - 1)) for a in range(lo, hi + 1, PIECE)]
 
     def matches(self, unit: Bytes):
         """doc, first and last start of runs of windows that the passages hold."""
         w, at = self.window, 0
-        while at < len(self.spans):
+        spans = sorted(self.spans, key=lambda s: s[1] - s[2])  # longest first
+        while at < len(spans):
             stop, size = at, 0
-            while stop < len(self.spans) and (stop == at or size < 8 * MANY and stop - at < MANY):
-                size += self.spans[stop][2] - self.spans[stop][1] + w
+            while stop < len(spans) and (stop == at or size < MANY):
+                size += spans[stop][2] - spans[stop][1] + w
                 stop += 1
-            yield from self._stream(unit, self.spans[at:stop])
+            yield from self._stream(unit, spans[at:stop])
             at = stop
 
     def _stream(self, unit: Bytes, spans):
         w = self.window
         doc, lo, hi = (np.array(x, np.int64) for x in zip(*spans))
-        text = np.concatenate([*(np.frombuffer(unit.texts[d], np.uint8)[a : b + w].astype(np.uint16) + 1 for d, a, b in spans), np.full(STEP, 500, np.uint16)])
+        text = np.concatenate([np.frombuffer(unit.texts[d], np.uint8)[a : b + w] for d, a, b in spans]).astype(np.uint16) + 1
         size = hi - lo + w
         base = np.cumsum(size) - size
-        now, end, who = base.copy(), base + hi - lo, np.arange(len(spans))
-        while len(now):
-            depth, place = self.search(text, now)
-            hit = depth == w
-            more = np.zeros(len(now), np.int64)
-            open_ = np.flatnonzero(hit)
-            while len(open_):
-                a, b = now[open_] + w + more[open_], place[open_] + w + more[open_]
-                same = text[np.minimum(a, len(text) - STEP)[:, None] + np.arange(STEP)] == self.padded[np.minimum(b, self.n)[:, None] + np.arange(STEP)]
-                run = np.where(same.all(axis=1), STEP, same.argmin(axis=1))
-                more[open_] += run
-                open_ = open_[(run == STEP) & (now[open_] + more[open_] < end[open_])]
-            last = np.minimum(now + more, end)
-            for d, s, e in zip(doc[who[hit]].tolist(), (now - base[who] + lo[who])[hit].tolist(), (last - base[who] + lo[who])[hit].tolist()):
-                yield d, s, e
-            now = np.where(hit, last + 1, now + w - depth)
-            left = now <= end
-            now, end, who = now[left], end[left], who[left]
-
-
-def dedup_bytes(docs: DataFrame, texts_too: bool = True) -> DataFrame:
+        hit = np.zeros(len(text) + 1, bool)
+        for at, length in self.statistics(text, base, size):
+            hit[at] = length >= w
+        # The last places of a piece begin no window, so runs of hits never span two pieces.
+        edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+        edge = np.concatenate([[0], edge]) if hit[0] else edge
+        first, last = edge[::2], edge[1::2] - 1
+        who = np.searchsorted(base, first, side="right") - 1
+        yield from zip(doc[who].tolist(), (first - base[who] + lo[who]).tolist(), (last - base[who] + lo[who]).tolist())
+
+
+def dedup_bytes(docs: DataFrame, texts_too: bool = True, **options) -> DataFrame:
     """See spans.remove_repeats; symbols are bytes of UTF-8, windows are 100 of them."""
-    return remove_repeats(docs, Bytes, RunIndex, texts_too)
+    return remove_repeats(docs, Bytes, RunIndex, texts_too, **options)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

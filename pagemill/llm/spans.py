@@ -10,11 +10,15 @@ the windows of one anchor, taken together, are the anchor's context.
    from the last one before it.
 3. Chunks cut the passages they were asked for, merged where they overlap, and send them to the chunks that need them.
 4. Each chunk indexes the passages it was sent (its reference shard) and those it repeats itself, and streams its
-   documents along that index. Only what the index really holds is removed: hashes route, texts decide.
+   documents along that index. Only what the index really holds is removed.
+
+Hashes of anchors only route: different anchors under one hash are told apart by their contexts, so a clash costs volume,
+not removals. Contexts (within an anchor) and windows are told apart by 64 bits of their own.
 
 Every message is made of different hashes or of passages that a chunk needs once, so copies are collapsed before each
 shuffle: a passage that a third of all documents share is sent from chunk to chunk, once to each, and no key gathers its
-copies. The volume is linear in the text, and all state is bounded by a chunk, a bucket or one document.
+copies. All state is bounded by a chunk, a bucket or one document. A chunk sends at most FAN rows; where that many buckets
+would be too large, a second pass deals each of them out again, so the number of rows follows the text, too.
 """
 
 from __future__ import annotations
@@ -26,14 +30,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parts, settle
+from .common import mix64, parts, ranges, settle
 
-#: Text of a chunk on average, text that gives the hashes of a bucket, and symbols that are worked on at a time.
-CHUNK_BYTES, BUCKET_BYTES, BLOCK = 4_000_000, 20_000_000, 1 << 18
+#: Text of a chunk, text that gives the hashes of a bucket, symbols that are worked on at a time, and buckets of a pass.
+CHUNK_BYTES, BUCKET_BYTES, BLOCK, FAN = 4_000_000, 20_000_000, 1 << 18, 4096
+#: Hashes that the second pass holds at a time.
+MANY = 1 << 23
 NONE = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_low48 = np.uint64((1 << 48) - 1)
 _powers: list[np.ndarray] = []
 
 
@@ -173,12 +178,16 @@ def windows(unit, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
 
 
 def pack(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return x.astype("<u8").tobytes()
 
 
 def unpack(blobs: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    return np.pad(raw, ((0, 0), (0, 2))).view("<u8").reshape(-1)
+    return np.frombuffer(b"".join(blobs), "<u8")
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Even 32-bit numbers that choose the bucket of a hash."""
+    return mix64(h) >> np.uint64(32)
 
 
 def by_value(key: np.ndarray, *columns: np.ndarray):
@@ -208,12 +217,10 @@ def in_sorted(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
-def _send(kind, bounds: np.ndarray, buckets: int):
-    """Step 1: rows (bucket, chunk, anchors, contexts)."""
+def _send(kind, bounds: np.ndarray, buckets: int, route: int):
+    """Step 1: rows (bucket, chunks, anchors, contexts)."""
 
     def run(batches):
-        import pyarrow as pa
-
         from .common import binary
 
         for batch in batches:
@@ -221,33 +228,80 @@ def _send(kind, bounds: np.ndarray, buckets: int):
             texts, out = binary(batch, "text"), []
             for chunk, rows in by_value(np.searchsorted(bounds, ids, side="left"), np.arange(len(ids))):
                 _, _, _, h, c = scan(kind([texts[i] for i in rows.tolist()]))
-                h, c = _pairs(h, c)
-                for bucket, a, b in by_value((h >> np.uint64(40)) % np.uint64(buckets), h, c):
-                    out.append((bucket, chunk, pack(a), b.astype("<u4").tobytes()))
-            yield _batch(out, ["bucket", "chunk", "a", "b"])
+                h, c = _pairs(h >> np.uint64(64 - route), c)
+                for bucket, a, b in by_value(spread(h) % np.uint64(buckets), h, c):
+                    out.append((bucket, _chunks(np.full(len(a), chunk)), pack(a), pack(b)))
+            yield _batch(out, ["bucket", "k", "a", "b"])
 
     return run
 
 
 def _pairs(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, first = np.unique(mix64(h ^ mix64(c)), return_index=True)
+    first = _distinct(h, c)
     return h[first], c[first]
 
 
+def _distinct(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The first place of each different pair, in order."""
+    order = np.lexsort((np.arange(len(h)), c, h))
+    return np.sort(order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])]) if len(h) else order
+
+
+def _chunks(chunk: np.ndarray) -> bytes:
+    """The chunk of each hash of a row, as pairs of a chunk and a count."""
+    start = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+    return np.stack([chunk[start], np.diff(np.concatenate([start, [len(chunk)]]))], axis=1).astype("<i4").tobytes()
+
+
+def _of_chunks(blobs: list[bytes]) -> np.ndarray:
+    pairs = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2)
+    return np.repeat(pairs[:, 0], pairs[:, 1])
+
+
 def _batch(rows: list[tuple], names: list[str]):
     import pyarrow as pa
 
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
+    kinds = {"bucket": pa.int64(), "chunk": pa.int32(), "kind": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(x, pa.binary())) for i, x in enumerate(names)], names)
+
+
+def _deal_again(again: int):
+    """The second pass: each bucket's hashes are dealt out to ``again`` buckets, MANY at a time."""
+
+    def split(bucket, rows):
+        chunk, h = _of_chunks([r[0] for r in rows]), unpack([r[1] for r in rows])
+        others = unpack([r[2] for r in rows])
+        for part, k, a, *b in by_value((spread(h) // np.uint64(FAN)) % np.uint64(again), chunk, h, *([others] if len(others) else [])):
+            yield bucket * again + part, _chunks(k), pack(a), pack(b[0]) if b else b""
+
+    def run(batches):
+        waiting: dict[int, list] = {}
+        n = 0
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(x).to_pylist() for x in ("bucket", "k", "a", "b"))):
+                waiting.setdefault(bucket, []).append(row)
+                n += len(row[1]) // 8
+                if n >= MANY:
+                    yield _batch([x for b, rows in waiting.items() for x in split(b, rows)], ["bucket", "k", "a", "b"])
+                    waiting, n = {}, 0
+        if n:
+            yield _batch([x for b, rows in waiting.items() for x in split(b, rows)], ["bucket", "k", "a", "b"])
+
+    return run
+
+
+MESSAGE = "bucket long, k binary, a binary, b binary"
+
+
+def _dealt(sent: DataFrame, again: int) -> DataFrame:
+    return sent if again == 1 else sent.repartition("bucket").mapInArrow(_deal_again(again), MESSAGE)
 
 
 def _answer(group):
     """A bucket of step 1: to every chunk the anchors to resolve (kind 0), to the chunk before it what to supply (kind 1)."""
     import pyarrow as pa
 
-    blobs = group.column("a").to_pylist()
-    h, c = unpack(blobs), np.frombuffer(b"".join(group.column("b").to_pylist()), "<u4")
-    chunk = np.repeat(group.column("chunk").to_numpy(), [len(x) // 6 for x in blobs])
+    h, c, chunk = unpack(group.column("a").to_pylist()), unpack(group.column("b").to_pylist()), _of_chunks(group.column("k").to_pylist())
     order = np.lexsort((chunk, h))
     h, c, chunk = h[order], c[order], chunk[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -266,8 +320,7 @@ def _answer_windows(group):
     """A bucket of step 2: to the chunk before it the windows to supply (kind 2)."""
     import pyarrow as pa
 
-    blobs = group.column("a").to_pylist()
-    h, chunk = unpack(blobs), np.repeat(group.column("chunk").to_numpy(), [len(x) // 6 for x in blobs])
+    h, chunk = unpack(group.column("a").to_pylist()), _of_chunks(group.column("k").to_pylist())
     order = np.lexsort((chunk, h))
     h, chunk = h[order], chunk[order]
     later = np.flatnonzero((h[1:] == h[:-1]) & (chunk[1:] != chunk[:-1])) + 1
@@ -292,8 +345,8 @@ def _asked(messages, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], to[order] if kind else to
 
 
-def _resolve(kind, buckets: int):
-    """Step 2: rows (bucket, chunk, windows) for anchors that have several contexts."""
+def _resolve(kind, buckets: int, route: int):
+    """Step 2: rows (bucket, chunks, windows) for anchors that have several contexts."""
 
     def run(docs, messages):
         import pyarrow as pa
@@ -304,26 +357,26 @@ def _resolve(kind, buckets: int):
         if len(asked) and len(texts):
             unit = kind(texts)
             doc, lo, hi, h, c = scan(unit)
-            some = np.flatnonzero(in_sorted(h & _low48, asked))
-            _, first = np.unique(mix64(h[some] ^ mix64(c[some])), return_index=True)
-            some = some[np.sort(first)]
+            h = h >> np.uint64(64 - route)
+            some = np.flatnonzero(in_sorted(h, asked))
+            some = some[_distinct(h[some], c[some])]
             found = np.unique(windows(unit, doc[some], lo[some], hi[some])[2])
             chunk = docs.column("chunk")[0].as_py()
-            out = [(bucket, chunk, pack(a), b"") for bucket, a in by_value((found >> np.uint64(40)) % np.uint64(buckets), found)]
-        return pa.Table.from_batches([_batch(out, ["bucket", "chunk", "a", "b"])])
+            out = [(bucket, _chunks(np.full(len(a), chunk)), pack(a), b"") for bucket, a in by_value(spread(found) % np.uint64(buckets), found)]
+        return pa.Table.from_batches([_batch(out, ["bucket", "k", "a", "b"])])
 
     return run
 
 
 def _joined(keys: np.ndarray, asked: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of keys and the targets that asked for them; asked is sorted and may repeat, keys are different."""
+    """Rows of keys and the targets that asked for them; asked is sorted, both may repeat."""
     left, right = np.searchsorted(asked, keys, "left"), np.searchsorted(asked, keys, "right")
     n = right - left
     rows = np.repeat(np.arange(len(keys)), n)
     return rows, to[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)] if len(rows) else np.zeros(0, np.int32)
 
 
-def _supply(kind):
+def _supply(kind, route: int):
     """Step 3: rows (chunk, passages) of what other chunks need."""
 
     def run(docs, messages):
@@ -335,15 +388,14 @@ def _supply(kind):
         if (len(whole) or len(single)) and len(texts):
             unit = kind(texts)
             doc, lo, hi, h, c = scan(unit)
-            low = h & _low48
-            here = np.flatnonzero(in_sorted(low, whole))
-            here = here[np.unique(low[here], return_index=True)[1]]  # the first of each
-            at, to = _joined(low[here], whole, whole_to)
+            h = h >> np.uint64(64 - route)
+            here = np.flatnonzero(in_sorted(h, whole))
+            here = here[_distinct(h[here], c[here])]  # all that are different, should several share the hash
+            at, to = _joined(h[here], whole, whole_to)
             found = [(to, doc[here][at], lo[here][at], hi[here][at])]
-            some = np.flatnonzero(in_sorted(low, several))
-            some = some[np.sort(np.unique(mix64(h[some] ^ mix64(c[some])), return_index=True)[1])]
+            some = np.flatnonzero(in_sorted(h, several))
+            some = some[_distinct(h[some], c[some])]
             d, s, x = windows(unit, doc[some], lo[some], hi[some])
-            x &= _low48
             here = np.flatnonzero(in_sorted(x, single))
             here = here[np.unique(x[here], return_index=True)[1]]
             at, to = _joined(x[here], single, single_to)
@@ -413,19 +465,22 @@ def _finish(kind, matcher, texts_too: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, kind, matcher, texts_too: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, kind, matcher, texts_too: bool = True, route: int = 64) -> DataFrame:
     """doc_id, n (symbols), n_removed, n_spans, kept_sha256, kept (bytes) and spans (start, end, start, ...) of each row.
 
     A symbol goes if a window that covers it came before: in a smaller doc_id, or earlier in the same document. Rows
-    without doc_id come first; rows that share one are ordered by text. Null texts are empty; other columns are ignored.
+    without doc_id come first; rows that share one are ordered by text, so of repeated rows the first is kept whole. Null
+    texts are empty; other columns are ignored; an empty table gives an empty table.
+
+    route: bits of an anchor's hash. Fewer make more anchors share one, which changes the volume but not the result.
     """
     spark = docs.sparkSession
     schema = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>"
     key = F.coalesce("doc_id", F.lit(NONE).cast("long"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(3 * parts(spark), math.ceil(total / CHUNK_BYTES)), max(parts(spark), math.ceil(total / BUCKET_BYTES))
-    at = docs.agg(F.percentile_approx(key, [i / chunks for i in range(1, chunks)] or [0.5], max(10_000, 20 * chunks))).first()[0]
-    bounds = np.array(sorted(set(at or [])), np.int64)
+    bounds = ranges(docs, key, total, CHUNK_BYTES)
+    buckets = max(parts(spark), math.ceil(total / BUCKET_BYTES))
+    buckets, again = min(buckets, FAN), math.ceil(buckets / FAN)
 
     @F.pandas_udf("int")
     def chunk(keys):
@@ -433,12 +488,12 @@ def remove_repeats(docs: DataFrame, kind, matcher, texts_too: bool = True) -> Da
 
         return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="left"))
 
+    sent = _dealt(docs.select("doc_id", "text").mapInArrow(_send(kind, bounds, buckets, route), MESSAGE), again)
     message = "chunk int, kind int, a binary, b binary"
-    sent = docs.select("doc_id", "text").mapInArrow(_send(kind, bounds, buckets), "bucket int, chunk int, a binary, b binary")
     first = settle(sent.groupBy("bucket").applyInArrow(_answer, message))
     rows = docs.select("doc_id", key.alias("key"), "text").withColumn("chunk", chunk("key"))
     texts = rows.groupBy("chunk")
-    single = texts.cogroup(first.where("kind = 0").groupBy("chunk")).applyInArrow(_resolve(kind, buckets), "bucket int, chunk int, a binary, b binary")
-    second = single.groupBy("bucket").applyInArrow(_answer_windows, message)
-    passages = texts.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(_supply(kind), "chunk int, passages array<binary>")
+    single = texts.cogroup(first.where("kind = 0").groupBy("chunk")).applyInArrow(_resolve(kind, buckets, route), MESSAGE)
+    second = _dealt(single, again).groupBy("bucket").applyInArrow(_answer_windows, message)
+    passages = texts.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(_supply(kind, route), "chunk int, passages array<binary>")
     return texts.cogroup(passages.groupBy("chunk")).applyInArrow(_finish(kind, matcher, texts_too), schema)

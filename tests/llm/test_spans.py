@@ -75,18 +75,32 @@ def test_suffix_array(seed):
     assert rindex.suffix_array(text).tolist() == want
 
 
-def test_search():
+def test_matching_statistics():
     rng = random.Random(1)
     passages = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(100, 300))) for _ in range(6)]
     index = rindex.RunIndex(spans.Bytes(passages))
     text = b"".join(p[: rng.randrange(len(p))] for p in passages) + bytes(rng.choice(b"abc") for _ in range(300))
-    at = np.arange(len(text) - 100)
-    depth, place = index.search(np.frombuffer(text, np.uint8).astype(np.uint16) + 1, at)
-    for i in at.tolist():
-        longest = next(n for n in range(100, -1, -1) if any(text[i + 100 - n : i + 100] in p for p in passages))
-        assert depth[i] == longest
-        if longest == 100:
-            assert (index.text[place[i] : place[i] + 100] - 1).astype(np.uint8).tobytes() == text[i : i + 100]
+    sizes = np.array([400, 250, len(text) - 650])
+    sizes[::-1].sort()
+    base = np.cumsum(sizes) - sizes
+    got = np.full(len(text), -1)
+    for at, length in index.statistics(np.frombuffer(text, np.uint8).astype(np.uint16) + 1, base, sizes):
+        got[at] = length
+    for b, n in zip(base.tolist(), sizes.tolist()):
+        for i in range(b, b + n):
+            assert got[i] == next(m for m in range(min(100, b + n - i), -1, -1) if any(text[i : i + m] in p for p in passages))
+
+
+@pytest.mark.parametrize("op", [WORDS, BYTES], ids=["words", "bytes"])
+def test_clashing_hashes_lose_nothing(spark, op, monkeypatch):
+    """Anchors that share a hash, and buckets that are dealt out twice."""
+    run, split, join, w = op
+    rows = list(enumerate(_texts(5, 40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(spans, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(spans, "FAN", 2)
+    got = sorted((r.doc_id, r.n, r.n_removed, r.n_spans, bytes(r.kept)) for r in run(df, route=4).collect())
+    assert got == brute(rows, split, join, w)
 
 
 def test_automaton():
