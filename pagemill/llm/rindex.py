@@ -19,7 +19,7 @@ from .spans import Bytes, remove_repeats
 
 #: Symbols that a comparison looks at a time, symbols that are streamed at a time, and windows of a piece of a span (pieces
 #: are streamed side by side).
-STEP, MANY, PIECE = 32, 1 << 22, 448
+STEP, MANY, PIECE = 32, 1 << 22, 320
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

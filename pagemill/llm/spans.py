@@ -178,11 +178,13 @@ def windows(unit, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
 
 
 def pack(x: np.ndarray) -> bytes:
-    return x.astype("<u8").tobytes()
+    """Numbers in ascending order by their differences, byte plane by byte plane, as high planes hold mostly zeros."""
+    return np.diff(x.astype(np.uint64), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpack(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<u8")
+    planes = lambda b: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(planes(b), dtype=np.uint64) for b in blobs if b)])
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -230,20 +232,23 @@ def _send(kind, bounds: np.ndarray, buckets: int, route: int):
                 _, _, _, h, c = scan(kind([texts[i] for i in rows.tolist()]))
                 h, c = _pairs(h >> np.uint64(64 - route), c)
                 for bucket, a, b in by_value(spread(h) % np.uint64(buckets), h, c):
-                    out.append((bucket, _chunks(np.full(len(a), chunk)), pack(a), pack(b)))
+                    out.append((bucket, _chunks(np.full(len(a), chunk)), pack(a), b.tobytes()))
             yield _batch(out, ["bucket", "k", "a", "b"])
 
     return run
 
 
 def _pairs(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = _distinct(h, c)
-    return h[first], c[first]
+    """The different pairs in ascending order of h."""
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else order
+    return h[new], c[new]
 
 
 def _distinct(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The first place of each different pair, in order."""
-    order = np.lexsort((np.arange(len(h)), c, h))
+    order = np.lexsort((c, h))  # stable, so that the first of equal pairs is the first place
     return np.sort(order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])]) if len(h) else order
 
 
@@ -270,9 +275,11 @@ def _deal_again(again: int):
 
     def split(bucket, rows):
         chunk, h = _of_chunks([r[0] for r in rows]), unpack([r[1] for r in rows])
-        others = unpack([r[2] for r in rows])
+        others = np.frombuffer(b"".join(r[2] for r in rows), "<u8")
+        order = np.argsort(h, kind="stable")
+        chunk, h, others = chunk[order], h[order], others[order] if len(others) else others
         for part, k, a, *b in by_value((spread(h) // np.uint64(FAN)) % np.uint64(again), chunk, h, *([others] if len(others) else [])):
-            yield bucket * again + part, _chunks(k), pack(a), pack(b[0]) if b else b""
+            yield bucket * again + part, _chunks(k), pack(a), b[0].tobytes() if b else b""
 
     def run(batches):
         waiting: dict[int, list] = {}
@@ -301,7 +308,7 @@ def _answer(group):
     """A bucket of step 1: to every chunk the anchors to resolve (kind 0), to the chunk before it what to supply (kind 1)."""
     import pyarrow as pa
 
-    h, c, chunk = unpack(group.column("a").to_pylist()), unpack(group.column("b").to_pylist()), _of_chunks(group.column("k").to_pylist())
+    h, c, chunk = unpack(group.column("a").to_pylist()), np.frombuffer(b"".join(group.column("b").to_pylist()), "<u8"), _of_chunks(group.column("k").to_pylist())
     order = np.lexsort((chunk, h))
     h, c, chunk = h[order], c[order], chunk[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
