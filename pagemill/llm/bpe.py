@@ -2,8 +2,9 @@
 
 A text is cut into pieces by the tokenizer's pattern. The different pieces of a block of texts become rows (piece,
 position, token); a recursive query joins neighbours with the merge table and contracts each piece's leftmost pair of
-least rank until none is left, and an ordered aggregation gives back the ids and the bytes that they decode to. Pieces
-met before are kept in a bounded memory of the worker. Pieces of over ``LONG`` bytes, for which one pass per merge would
+least rank until none is left, and an ordered aggregation gives the ids. Pieces met before are kept in a bounded memory
+of the worker. Texts are decoded from nothing but their ids: these are joined with the vocabulary, and an ordered
+aggregation puts the bytes of each text together. Pieces of over ``LONG`` bytes, for which one pass per merge would
 be quadratic, are contracted by a heap in the same order.
 """
 
@@ -21,6 +22,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Pieces that a worker remembers, and code points of texts that it cuts at a time.
 MEMORY, BLOCK_CHARS = 1_000_000, 2_000_000
+#: Ids that are decoded at a time; longer texts are decoded in parts.
+MANY = 1_000_000
 
 ENCODE = """
 WITH RECURSIVE step(w, pos, nxt, tok, round) AS (
@@ -36,12 +39,12 @@ WITH RECURSIVE step(w, pos, nxt, tok, round) AS (
   )
   WHERE pos <> best & 1023
 ), last AS (SELECT w, max(round) AS round FROM step GROUP BY w)
-SELECT w, count(*) AS n, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, string_agg(bytes, '' ORDER BY pos) AS decoded
-FROM step JOIN last USING (w, round) JOIN vocabulary ON id = tok
+SELECT w, count(*) AS n, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids
+FROM step JOIN last USING (w, round)
 GROUP BY w
 """
 
-DECODE = "SELECT w, string_agg(bytes, '' ORDER BY pos) AS decoded FROM tokens JOIN vocabulary ON id = tok GROUP BY w"
+DECODE = "SELECT w, string_agg(bytes, '' ORDER BY pos) AS decoded, count(*) AS n FROM tokens JOIN vocabulary ON id = tok GROUP BY w"
 
 
 class Codec:
@@ -66,7 +69,7 @@ class Codec:
         if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known: dict[str, tuple[int, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         lft, rgt, rank = (pa.array(x, pa.int32()) for x in zip(*pairs)) if pairs else [pa.array([], pa.int32())] * 3
@@ -91,10 +94,10 @@ class Codec:
         short, raw = [], [p.encode() for p in pieces]
         for p, b in zip(pieces, raw):
             if (whole := self.ranks.get(b)) is not None:  # a piece that is a token needs no merges
-                self.known[p] = (1, b"%d" % whole, b)
+                self.known[p] = (1, b"%d" % whole)
             elif len(b) > LONG:
                 ids = self._heap(b)
-                self.known[p] = (len(ids), " ".join(map(str, ids)).encode(), self.decode([ids])[0])
+                self.known[p] = (len(ids), " ".join(map(str, ids)).encode())
             else:
                 short.append((p, b))
         for at in range(0, len(short), 50_000):
@@ -102,8 +105,8 @@ class Codec:
             self.db.register("start", self._rows([[one[x] for x in b] for _, b in some]))
             got = self.db.execute(ENCODE).fetchnumpy()
             self.db.unregister("start")
-            for w, n, ids, decoded in zip(got["w"].tolist(), got["n"].tolist(), got["ids"].tolist(), got["decoded"].tolist()):
-                self.known[some[w][0]] = (n, ids.encode(), bytes.fromhex(decoded))
+            for w, n, ids in zip(got["w"].tolist(), got["n"].tolist(), got["ids"].tolist()):
+                self.known[some[w][0]] = (n, ids.encode())
 
     def _heap(self, raw: bytes) -> list[int]:
         """One long piece: the leftmost pair of least rank first, by a heap over a linked list."""
@@ -126,17 +129,39 @@ class Codec:
                     heapq.heappush(heap, (r, x, len(tok[x]), len(tok[nxt[x]])))
         return [ranks[t] for t in tok if t]
 
-    def decode(self, lists: list[list[int]]) -> list[bytes]:
+    def decode(self, lists) -> list[bytes]:
         """The bytes of each list of ids."""
-        self.db.register("tokens", self._rows(lists))
-        found = dict(self.db.execute(DECODE).fetchall())
-        self.db.unregister("tokens")
-        if any(own and i not in found for i, own in enumerate(lists)):
-            raise ValueError("an id is not in the vocabulary")
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(lists))]
+        import numpy as np
+        import pyarrow as pa
+
+        out: list[list[str]] = [[] for _ in lists]
+        parts = [(i, np.asarray(own[a : a + MANY], np.int32)) for i, own in enumerate(lists) for a in range(0, len(own), MANY)]
+        at = 0
+        while at < len(parts):
+            stop, n = at, 0
+            while stop < len(parts) and (stop == at or n + len(parts[stop][1]) <= MANY):
+                n += len(parts[stop][1])
+                stop += 1
+            some = parts[at:stop]
+            size = np.array([len(x) for _, x in some])
+            w = np.repeat(np.arange(len(some), dtype=np.int32), size)
+            self.db.register("tokens", pa.table({"w": w, "pos": np.arange(n, dtype=np.int32), "tok": np.concatenate([x for _, x in some])}))
+            found, counted = {}, 0
+            for i, spelled, ids in self.db.execute(DECODE).fetchall():
+                found[i] = spelled
+                counted += ids
+            self.db.unregister("tokens")
+            if counted != n:
+                raise ValueError("an id is not in the vocabulary")
+            for i, (doc, _) in enumerate(some):
+                out[doc].append(found[i])
+            at = stop
+        return [bytes.fromhex("".join(x)) for x in out]
 
     def encode(self, texts: list[str]):
-        """For each text: the number of ids, the ids in decimal joined by spaces, and the decoded bytes."""
+        """For each text: the number of ids, the ids in decimal joined by spaces, and the bytes that they decode to."""
+        import numpy as np
+
         at = 0
         while at < len(texts):
             stop, chars = at, 0
@@ -149,9 +174,12 @@ class Codec:
                 self.known.clear()
                 new = {p for own in cut for p in own}
             self.learn(sorted(new))
+            rows = []
             for own in cut:
                 found = [self.known[p] for p in own]
-                yield sum(f[0] for f in found), b" ".join([f[1] for f in found]), b"".join([f[2] for f in found])
+                rows.append((sum(f[0] for f in found), b" ".join([f[1] for f in found])))
+            decoded = self.decode([np.fromstring(ids, np.int32, sep=" ") if n else [] for n, ids in rows])
+            yield from ((n, ids, spelled) for (n, ids), spelled in zip(rows, decoded))
             at = stop
 
 
@@ -188,7 +216,8 @@ def _shared(spark: SparkSession, path: str | None, pattern: str | None):
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the decoded bytes are the text's) of every whole text, and the columns to keep.
 
-    Null and empty texts have no ids. Strings of special tokens are ordinary text. Rows are independent of each other.
+    Null and empty texts have no ids. Strings of special tokens are ordinary text. Rows are independent of each other, so
+    repeated rows stay as they are; columns that aren't to be kept are ignored. An empty table gives an empty table.
     """
     vocabulary, pattern = _shared(docs.sparkSession, path, pattern)
     kept = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in keep)

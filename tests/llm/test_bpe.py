@@ -57,3 +57,20 @@ def test_op10(spark, corpus, docs):
     assert encoded.where("round_trip").count() == docs.count()
     got = sorted((r.doc_id, bytes(r.bytes)) for r in bpe.decode(encoded).collect())
     assert got == sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+
+
+def test_texts_are_decoded_from_their_ids():
+    own = bpe.Codec(FILE, P.PATTERN)
+    [(n, ids, raw)] = own.encode(["the cat"])
+    assert raw == b"the cat"
+    own.db.execute("UPDATE vocabulary SET bytes = '21' WHERE id = ?", [int(ids.split()[0])])
+    [(_, same, raw)] = own.encode(["the cat"])
+    assert same == ids and raw != b"the cat" and raw.startswith(b"!")
+    with pytest.raises(ValueError):
+        own.decode([[10**8]])
+
+
+def test_long_texts_are_decoded_in_parts(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "MANY", 7)
+    texts = ["the quick brown fox jumps over the lazy dog " * 3, "", "cat", "the dog " * 9]
+    assert [raw.decode() for _, _, raw in codec.encode(texts)] == texts
