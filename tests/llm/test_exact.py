@@ -33,12 +33,29 @@ def test_exact(spark, corpus, docs):
 
 def test_a_batch_without_a_snapshot_and_nulls(spark):
     batch = spark.createDataFrame([(None, "a"), (3, "a"), (5, "b"), (None, "c")], "doc_id long, text string")
-    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.ingest(batch.limit(0), batch).collect()}
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.ingest(exact.Snapshot(batch.limit(0)), batch).collect()}
     assert got == {(None, 3, 2, False), (3, 3, 2, True), (5, 5, 1, True), (None, None, 1, True)}
 
 
 def test_equal_digests_of_different_texts_stay_apart(spark):
     old, new = (spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "x")], [(2, "y")]))
     same = lambda d: d.selectExpr("doc_id", "repeat('0', 64) AS text_sha256")
-    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact.ingest(old, new, same(old), same(new)).collect()}
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact.ingest(exact.Snapshot(old, same(old)), new, same(new)).collect()}
     assert got == {(1, 1, 1), (2, 2, 1)}
+
+
+def test_what_the_filter_rejects_never_meets_the_snapshot(spark):
+    old, new = (spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "x"), (2, "y")], [(3, "x"), (4, "x"), (5, "z")]))
+    snapshot = exact.Snapshot(old)
+    result = lambda: {(r.doc_id, r.keep_id, r.group_size) for r in exact.ingest(snapshot, new).collect()}
+    assert result() == {(1, 1, 3), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 5, 1)}
+    nothing = bytearray(fuse.build(np.zeros(0, np.uint64)))
+    snapshot.filters = spark.createDataFrame([(0, nothing)], "shard int, filter binary")
+    assert result() == {(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 3, 2), (5, 5, 1)}
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "a", 0), (1, "b", 1), (1, "a", 2), (2, "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha long").withColumnsRenamed({"sha": "first"})
+    got = sorted(map(tuple, exact.ingest(exact.Snapshot(docs.where("doc_id = 1")), docs.where("doc_id = 2")).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert got == [(1, 1, 2, True), (1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False)]
