@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -43,59 +44,70 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, order: str = "turn") -> DataFrame:
-    """conv_id and formatted: one string for each conversation. Messages of one turn follow by role, then text."""
+    """conv_id and formatted: one string for each conversation. Messages of one turn follow by role, then text.
+
+    Null roles and texts are empty; repeated rows are messages of their own; no rows: no rows. Other columns are ignored.
+    """
     piece = F.concat(F.lit(TURN), escape(F.coalesce("role", F.lit(""))), F.lit(TEXT), escape(F.coalesce("text", F.lit(""))), F.lit(END))
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "role", "text", piece.alias("piece"))))
     return messages.groupBy("conv_id").agg(rows.alias("rows")).select("conv_id", F.expr("array_join(transform(rows, r -> r.piece), '')").alias("formatted"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """Adds turns: the roles and texts read back from ``formatted``."""
-    # split_part and split on the literal marks: escaped texts hold no '<', so a mark is always a mark.
-    pieces = F.expr("filter(split(formatted, '<[|]end[|]>'), p -> p <> '')")
-    turns = F.transform(pieces, lambda p: F.struct(unescape(F.regexp_replace(F.split_part(p, F.lit(TEXT), F.lit(1)), r"^<[|]turn[|]>", "")).alias("role"), unescape(F.split_part(p, F.lit(TEXT), F.lit(2))).alias("text")))
-    return formatted.withColumn("turns", turns)
+    """A row for each turn, read back from ``formatted``: conv_id, no (from 0), role, text, and start and end of the text as
+    it is written there (escaped), in code points. What stands before a turn is a running sum, so the work is linear.
+
+    Repeated conv_ids are taken for one conversation; no rows: no rows. Other columns are ignored.
+    """
+    # Escaped texts hold no '<', so a mark is always a mark.
+    pieces = F.expr("slice(split(formatted, '<[|]end[|]>', -1), 1, size(split(formatted, '<[|]end[|]>', -1)) - 1)")
+    rows = formatted.select("conv_id", F.posexplode(pieces).alias("no", "piece"))
+    head = F.instr("piece", TEXT) + len(TEXT) - 1
+    before = Window.partitionBy("conv_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.length("piece") + len(END)).over(before), F.lit(0))
+    placed = rows.withColumns({"head": head, "offset": offset.cast("long")})
+    role = F.substring("piece", F.lit(len(TURN) + 1), F.col("head") - len(TURN) - len(TEXT))
+    text = F.substring("piece", F.col("head") + 1, F.length("piece"))
+    return placed.select("conv_id", "no", unescape(role).alias("role"), unescape(text).alias("text"), (F.col("offset") + F.col("head")).alias("start"), (F.col("offset") + F.length("piece")).alias("end"))
 
 
 def loss_spans(parsed: DataFrame, role: str = LEARNED) -> DataFrame:
-    """Adds spans: [start, end) in code points of ``formatted`` that a loss is taken over (each learned text, escaped, once)."""
-    sized = F.transform("turns", lambda t: F.struct((F.length(escape(t["role"])) + len(TURN) + len(TEXT)).alias("head"), F.length(escape(t["text"])).alias("body"), (t["role"] == role).alias("on")))
-    step = lambda acc, t: F.struct(
-        (acc["at"] + t["head"] + t["body"] + len(END)).cast("long").alias("at"),
-        F.when(t["on"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["head"]).cast("long").alias("start"), (acc["at"] + t["head"] + t["body"]).cast("long").alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)").alias("spans"))
-    return parsed.withColumn("spans", F.aggregate(sized, start, step)["spans"])
+    """The turns that a loss is taken over: their spans [start, end) are the loss mask of ``formatted``."""
+    return parsed.where(F.col("role") == role)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings say when read back: counts, and digests of all turns and of the text under the loss mask."""
-    read = loss_spans(parse(formatted))
-    learned = F.expr("array_join(transform(spans, s -> replace(replace(substring(formatted, int(s.start) + 1, int(s.end - s.start)), '&lt;', '<'), '&amp;', '&')), '')")
-    every = F.expr("array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')")
-    read = read.withColumn("learned", learned)
+    """What the formatted strings say when read back: counts, and digests of all turns and of the text under the loss mask.
+
+    A conversation without turns has no row, as ``render`` makes none.
+    """
+    masked = parse(formatted).withColumn("mask", F.col("role") == LEARNED)
+    every = F.array_sort(F.collect_list(F.struct("no", "role", "text", "mask")))
+    read = masked.groupBy("conv_id").agg(every.alias("turns"), F.max("end").alias("last"))
+    said = F.expr("array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')")
+    read = read.withColumn("learned", F.expr("array_join(transform(filter(turns, t -> t.mask), t -> t.text), '')"))
     return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every.cast("binary"), 256).alias("turns_sha256"),
-        F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), (F.col("last") + len(END)).alias("formatted_chars"),
     )
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log for plain turns: each is opened and streamed as two deltas. Rows that share a turn are turns of their own.
+    """A log for plain turns, with every kind of event. Rows that share a turn are turns of their own.
 
-    Turns are numbered by (turn, role, text), so that repeated rows keep their count; a conversation is one group.
+    A learned turn is opened, streams a draft that is discarded by ``regenerate``, and streams its text in two deltas. Any
+    other is opened with a wrong text, which an ``edit`` replaces by its first half; a delta appends the rest. Turns are
+    numbered by (turn, role, text), so that repeated rows keep their count. Other columns are ignored.
     """
-    rows = conversations.select("conv_id", F.struct("turn", "role", "text").alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    turns = rows.select("conv_id", F.posexplode("ms").alias("turn", "m")).select("conv_id", "turn", "m.role", F.coalesce("m.text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    turns = conversations.select("conv_id", (F.row_number().over(order) - 1).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     half = F.expr("length(text) div 2").cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
     event = lambda seq, kind, role, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-    silent = F.lit(None).cast("string")
-    log = F.array(
-        event(0, "open", F.col("role"), F.lit("")),
-        event(1, "delta", silent, F.substring(F.col("text"), F.lit(1), half)),
-        event(2, "delta", silent, F.substring(F.col("text"), half + 1, F.length("text"))),
-    )
-    return turns.select("conv_id", "turn", F.inline(log))
+    silent, role = F.lit(None).cast("string"), F.col("role")
+    learned = F.array(event(0, "open", role, F.lit("")), event(1, "delta", silent, rest), event(2, "regenerate", silent, silent), event(3, "delta", silent, first), event(4, "delta", silent, rest))
+    other = F.array(event(0, "open", role, rest), event(1, "edit", silent, first), event(2, "delta", silent, rest))
+    return turns.select("conv_id", "turn", F.inline(F.when(role == LEARNED, learned).otherwise(other)))
 
 
 #: Holds what would be control strings elsewhere.

@@ -35,7 +35,23 @@ def test_fold(spark):
 
 def test_mask_and_empty(spark):
     messages = spark.createDataFrame([(1, 0, "user", "a<b"), (1, 1, "assistant", "c&d<e"), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string")
-    row = chat.loss_spans(chat.parse(chat.render(messages))).first()
-    assert [row.formatted[s.start : s.end] for s in row.spans] == ["c&amp;d&lt;e", ""]
-    assert [tuple(t) for t in row.turns] == [("user", "a<b"), ("assistant", "c&d<e"), ("assistant", "")]
+    formatted = chat.render(messages)
+    whole, turns = formatted.first().formatted, chat.parse(formatted).orderBy("no").collect()
+    assert [whole[t.start : t.end] for t in chat.loss_spans(chat.parse(formatted)).orderBy("no").collect()] == ["c&amp;d&lt;e", ""]
+    assert [(t.role, t.text) for t in turns] == [("user", "a<b"), ("assistant", "c&d<e"), ("assistant", "")]
     assert chat.digest(chat.render(chat.fold(chat.events_of(messages.limit(0))))).count() == 0
+
+
+def test_logs_hold_every_kind_of_event(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "abc", 1), (1, 0, "user", "abc", 2), (1, 1, "assistant", None, 3), (2, None, None, "x", 4)], "conv_id long, turn long, role string, text string, piece long")
+    events = chat.events_of(rows)
+    assert {r.kind for r in events.collect()} == {"open", "delta", "edit", "regenerate"}
+    assert sorted(map(tuple, chat.fold(events).collect())) == [(1, 0, "user", "abc"), (1, 1, "user", "abc"), (1, 2, "assistant", ""), (2, 0, "", "x")]
+
+
+def test_a_long_conversation(spark, tmp_path):
+    rows = [(7, t, ("user", "assistant")[t % 2], f"text <{t}> & more") for t in range(10_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op8_chat_format(spark, str(tmp_path)).collect()}
+    learned = "".join(x for _, _, r, x in rows if r == "assistant")
+    assert (got[7].n_turns, got[7].loss_chars, got[7].loss_sha256) == (10_000, len(learned), sha(learned))
