@@ -2,7 +2,8 @@
 
 A k-mer of bytes is a closed syncmer if the least of its inner s-mers (by hash) is its first or its last. Whether it is
 depends on the k-mer alone, so an edit elsewhere never changes the choice. The anchors of a text are all its different
-syncmers, each with its first position: similarity is that of the sets, and positions tell where shared passages lie. A
+syncmers, each with its first position. Two texts are as similar as the anchors that they share in matching positions: at
+the same place, or as far apart as the next shared anchor before or after, as in a passage that was moved. A
 fingerprint is a digest of bounded size: the ``KEEP`` anchors with the least hashes.
 """
 
@@ -14,9 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, parts, table
+from .common import mix64, ranges, table
 
 K, S, KEEP = 24, 8, 64
+#: Text of a chunk of neighbours.
+CHUNK_BYTES = 16_000_000
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +52,19 @@ def whole(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, at[first]
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of different hashes; 1 if both are empty."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Anchors shared in matching positions, as a share of all different anchors; 1 if both are empty.
+
+    Equal texts have 1. An anchor that is shared alone, at another place, is taken for a coincidence.
+    """
+    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    every = len(a[0]) + len(b[0]) - len(both)
+    here, there = a[1][i], b[1][j]
+    order = np.argsort(here)
+    shift = (there - here)[order]
+    like = shift[1:] == shift[:-1]
+    held = (shift == 0) | np.concatenate([like, [False]]) | np.concatenate([[False], like]) if len(shift) else np.zeros(0, bool)
+    return int(held.sum()) / every if every else 1.0
 
 
 def sketch(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -113,18 +125,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 NONE = -(1 << 63)
 
 
-def with_next(docs: DataFrame, run, schema: str, chunks: int | None = None) -> DataFrame:
-    """Hand ``run`` the documents in chunks of neighbours, in descending doc_id, each chunk followed by the next one's first.
+def with_next(docs: DataFrame) -> DataFrame:
+    """Rows (chunk, extra, key, doc_id, text): documents in chunks of neighbours, each chunk in descending doc_id and followed
+    by the first of the next one (extra), all chunks of a partition one after the other.
 
-    Chunks are ranges of doc_id, as many as there are shuffle partitions. Only the first document of each is sent twice, so
-    texts are shuffled once. Rows that share a doc_id come in the order of their texts.
+    Chunks are ranges of doc_id with about CHUNK_BYTES of text. Only the first document of each is sent twice, so texts are
+    shuffled once. Rows that share a doc_id come in the order of their texts; rows without one come last.
     """
     spark = docs.sparkSession
-    chunks = chunks or parts(spark)
     key = F.coalesce("doc_id", F.lit(NONE).cast("long"))
-    ids = docs.select(key.alias("key"))
-    at = ids.agg(F.percentile_approx("key", [i / chunks for i in range(1, chunks)] or [0.5], max(10_000, 20 * chunks))).first()[0]
-    bounds = np.array(sorted(set(at or [])), np.int64)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounds = ranges(docs, key, total, CHUNK_BYTES)
 
     @F.pandas_udf("int")
     def chunk(keys):
@@ -132,9 +143,8 @@ def with_next(docs: DataFrame, run, schema: str, chunks: int | None = None) -> D
 
         return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="left"))
 
-    tops = sorted((r[0], r[1]) for r in ids.select(chunk("key").alias("chunk"), "key").groupBy("chunk").agg(F.max("key")).collect())  # one row for each chunk
-    if not tops:
-        return spark.createDataFrame([], schema)
+    # One row for each chunk, of which there are not more than ``ranges`` allows.
+    tops = sorted((r[0], r[1]) for r in docs.select(key.alias("key")).select(chunk("key").alias("chunk"), "key").groupBy("chunk").agg(F.max("key")).collect())
     # The first of each chunk also goes to the chunk above it; the first of all to the lowest chunk.
     heads = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
     above = F.broadcast(spark.createDataFrame(heads, "key long, above int"))
@@ -142,33 +152,39 @@ def with_next(docs: DataFrame, run, schema: str, chunks: int | None = None) -> D
     own = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("extra"))
     extra = F.struct(F.col("above").alias("chunk"), F.lit(True).alias("extra"))
     dealt = rows.select("key", "doc_id", "text", F.inline(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, extra))))
-    return dealt.groupBy("chunk").applyInArrow(run, schema)
+    return dealt.select("chunk", "extra", "key", "doc_id", "text").repartition("chunk").sortWithinPartitions("chunk", "extra", F.desc("key"), "text")
 
 
-def _compare(group):
+def _compare(batches):
+    """Each document that isn't extra with the one that follows it; one document is held at a time."""
     import pyarrow as pa
 
-    # The first of the next chunk is the extra row with the greatest key below, or around the corner the greatest of all.
-    group = group.sort_by([("extra", "ascending"), ("key", "descending"), ("text", "ascending")])
-    own = group.filter(pa.compute.invert(group.column("extra")))
-    texts = [t or "" for t in group.column("text").slice(0, own.num_rows + 1).to_pylist()]
-    if own.num_rows == len(texts):
-        raise RuntimeError("a chunk lacks the document that follows it")
-    after = whole(texts[0].encode()) if texts else None
+    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string()}
+    kinds |= {"near_edited": pa.float64(), "near_next": pa.float64(), "anchors": pa.binary(), "edited_anchors": pa.binary()}
     least = lambda x: text_of((x[0][:KEEP], x[1][:KEEP]))
-    rows = []
-    for i in range(own.num_rows):
-        text, n = texts[i], len(texts[i])
-        edited = (text[: n - n // 2] + texts[i + 1][: n // 2]).encode()
-        found, after, other = after, whole(texts[i + 1].encode()), whole(edited)
-        near = jaccard(found[0], other[0]), jaccard(found[0], after[0])
-        rows.append((n, hashlib.sha256(edited).hexdigest(), least(found), least(other), *near, bytes_of(found), bytes_of(other)))
-    kinds = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "anchors": pa.binary(), "edited_anchors": pa.binary()}
-    columns = {"doc_id": own.column("doc_id"), **{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}}
-    return pa.table(columns)
+    held = None  # chunk, doc_id, text and anchors of the document that waits for the next one
+    for batch in batches:
+        rows = []
+        for chunk, extra, doc_id, text in zip(*(batch.column(x).to_pylist() for x in ("chunk", "extra", "doc_id", "text"))):
+            if extra and held is None:
+                continue  # only the first extra document of a chunk counts
+            text = text or ""
+            found = whole(text.encode())
+            if held is not None:
+                if held[0] != chunk:
+                    raise RuntimeError("a chunk lacks the document that follows it")
+                _, own_id, own, anchors_ = held
+                n = len(own)
+                edited = (own[: n - n // 2] + text[: n // 2]).encode()
+                other = whole(edited)
+                rows.append((own_id, n, hashlib.sha256(edited).hexdigest(), least(anchors_), least(other), similarity(anchors_, other), similarity(anchors_, found), bytes_of(anchors_), bytes_of(other)))
+            held = None if extra else (chunk, doc_id, text, found)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+    if held is not None:
+        raise RuntimeError("a chunk lacks the document that follows it")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors and fingerprints of all documents and of their texts with the last half replaced by the start of the next document."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, anchors binary, edited_anchors binary"
-    return with_next(table(spark, sf_dir, "documents", "doc_id", "text"), _compare, schema)
+    return with_next(table(spark, sf_dir, "documents", "doc_id", "text")).mapInArrow(_compare, schema)

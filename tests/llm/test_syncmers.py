@@ -40,6 +40,44 @@ def test_likeness():
     assert shared and all(p - q == 24 for p, q in shared)
 
 
+def _like(a: bytes, b: bytes) -> float:
+    """Similarity from the definition: positions of shared k-mers, and those of their neighbours."""
+    first = [{}, {}]
+    for text, at in zip((a, b), first):
+        for i in brute(text):
+            at.setdefault(text[i : i + syncmers.K], i)
+    both = sorted((first[0][x], first[1][x]) for x in first[0].keys() & first[1].keys())
+    shift = [y - x for x, y in both]
+    held = sum(d == 0 or d in shift[max(0, i - 1) : i] + shift[i + 1 : i + 2] for i, d in enumerate(shift))
+    every = len(first[0].keys() | first[1].keys())
+    return held / every if every else 1.0
+
+
+@given(st.lists(st.sampled_from([b"the quick brown fox jumps ", b"over a lazy dog near the ", b"0123456789" * 3, b"xy"]), max_size=8), st.integers(0, 60), st.integers(0, 60))
+@settings(max_examples=60, deadline=None)
+def test_similarity(parts, cut, move):
+    a = b"".join(parts)
+    b = a[cut:] + a[:move]
+    assert syncmers.similarity(syncmers.whole(a), syncmers.whole(b)) == _like(a, b)
+    assert syncmers.similarity(syncmers.whole(a), syncmers.whole(a)) == 1
+
+
+def test_op9_in_small_chunks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 100, n))) for n in rng.integers(0, 90, 60)]
+    rows = [(None if i == 7 else i // 2 * 3, None if i == 9 else t, "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, chunk string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(syncmers, "CHUNK_BYTES", 300)
+    got = sorted(map(tuple, syncmers.op9_fingerprints(spark, str(tmp_path)).select("doc_id", "n_chars", "near_edited", "near_next").collect()), key=str)
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else syncmers.NONE), r[1] or ""))
+    want = []
+    for i, (d, t, _) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        want.append((d, len(t), _like(t.encode(), edited.encode()), _like(t.encode(), nxt.encode())))
+    assert got == sorted(want, key=str)
+
+
 def test_op9(spark, corpus, docs):
     full, empty = corpus
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (-r.doc_id, r.text or ""))
