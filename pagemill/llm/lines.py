@@ -6,8 +6,10 @@ line goes even if the earlier one goes too.
 
 Different lines are cut into threshold + 1 even segments. Lines within the threshold share one whole segment, at a place
 that the lengths bound: each line looks up, for all lengths it could match and all segments, the substrings of its own
-that could be that segment (Li et al., Pass-Join, 2011). Lines under one key are gathered in tiles of bounded size; each
-probing line is compared with a tile by banded edit distance and gives at most one row, so pairs are never listed.
+that could be that segment (Li et al., Pass-Join, 2011). The lines under one key are compared by banded edit distance,
+and those that go are passed on, never pairs. A key that more than ``TILE`` lines share is cut again: what the shared
+segment leaves of its lines is cut into ``FINER`` segments, all but one of which must be shared, and so on, until one
+symbol is left; there the earliest line under a key decides. (Thresholds other than one are compared tile by tile there.)
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from .common import settle, table
 MIN_CHARS = 20
 THRESHOLD = 1
 TILE = 64
+FINER = 16
 
 
 def _keys(threshold: int, min_chars: int) -> tuple[list[Column], list[int]]:
@@ -59,16 +62,68 @@ def near_lines(different: DataFrame, lines_of, threshold: int = THRESHOLD, min_c
     """
     lines = different.withColumn("d", F.xxhash64("line"))
     keys, own = _keys(threshold, min_chars)
-    keyed = lines.select("d", "line", F.length("line").alias("n")).select("d", F.posexplode(F.array(*keys)).alias("i", "key")).where("key IS NOT NULL").withColumn("indexed", F.col("i").isin(own)).drop("i")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("found")).where("n > 1 AND found").select("key", F.expr(f"int(n div {TILE}) + 1").alias("tiles"))
+    keyed = lines.select("d", "line", F.length("line").alias("n")).select("d", F.posexplode(F.array(*keys)).alias("i", "key")).where("key IS NOT NULL").withColumn("indexed", F.col("i").isin(own))
+    shared = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("found")).where("n > 1 AND found").select("key", "n"))
     # Few lines share a key with another: those are looked up in their documents, so that no other text moves.
     met = keyed.join(shared, "key").join(lines.select("d", "k", "th", "no"), "d")
     met = met.join(lines_of(met.select("k", "th", "no")), ["k", "th", "no"]).withColumn("at", F.struct("k", "th", "no"))
-    # A tile holds some of the lines under a key; a probing line meets every tile of its key.
+    near = _compared(met.where(f"n <= {TILE}"), "line", threshold)
+    if shared.where(f"n > {TILE}").head(1):
+        crowded = met.where(f"n > {TILE}")
+        near = near.unionByName(_crowded(crowded) if threshold == 1 else _tiled(crowded, threshold))
+    return near.distinct()
+
+
+def _compared(met: DataFrame, text: str, threshold: int) -> DataFrame:
+    """k, th, no of the lines (key, at, indexed, text) that an earlier indexed one of their key is within the threshold of."""
+    held = F.collect_list(F.struct("at", "indexed", F.col(text).alias("text")))
+    close = lambda x, h: h["indexed"] & (h["at"] < x["at"]) & (F.levenshtein(h["text"], x["text"], threshold) >= 0)
+    gone = F.filter("held", lambda x: F.exists("held", lambda h: close(x, h)))
+    return met.groupBy("key").agg(held.alias("held")).select(F.inline(F.transform(gone, lambda x: x["at"])))
+
+
+def _crowded(met: DataFrame) -> DataFrame:
+    """The same for keys of many lines, at most one edit apart: finer and finer cuts of what a key leaves open.
+
+    Rows (key, at, indexed, rest, s): rest is what the line has between the shared parts, s the length of an indexed rest.
+    """
+    # Of the six keys of a line, three for each segment: the other's length is the own one, minus the edit.
+    segment, delta = F.expr("i % 2"), F.expr("i div 2 - 1")
+    first = F.expr("(length(line) - (i div 2 - 1)) div 2").cast("int")
+    rest = F.when(segment == 0, F.substring(F.col("line"), first + 1, F.length("line"))).otherwise(F.substring(F.col("line"), F.lit(1), first + delta.cast("int")))
+    s = F.when(segment == 0, F.length("line") - delta - first).otherwise(first)
+    rows, near = met.select("key", "at", "indexed", rest.alias("rest"), s.cast("int").alias("s")), None
+    while True:
+        found = _closed(rows.where("s <= 1"))
+        begin, end = F.expr(f"(s * j) div {FINER}").cast("int"), F.expr(f"(s * (j + 1)) div {FINER}").cast("int")
+        cut = rows.where("s > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(FINER - 1)))).withColumns({"begin": begin, "end": end})
+        cut = cut.withColumn("own", F.expr("length(rest) - s + end - begin")).where("own >= 0")
+        before, after = F.substring(F.col("rest"), F.lit(1), F.col("begin")), F.substring(F.col("rest"), F.col("begin") + F.col("own") + 1, F.length("rest"))
+        finer = cut.select(F.xxhash64("key", "j", before, after).alias("key"), "at", "indexed", F.substring("rest", F.col("begin") + 1, F.col("own")).alias("rest"), (F.col("end") - F.col("begin")).alias("s"))
+        shared = settle(finer.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("found")).where("n > 1 AND found").select("key", "n"))
+        finer = settle(finer.join(shared, "key"))
+        found = found.unionByName(_compared(finer.where(f"n <= {TILE}"), "rest", 1))
+        near = found if near is None else near.unionByName(found)
+        rows = finer.where(f"n > {TILE}").drop("n")
+        if not rows.head(1):
+            return near
+
+
+def _closed(rows: DataFrame) -> DataFrame:
+    """Where one symbol or none is left of the indexed lines: all lines of a key are near, but those of two symbols only to either."""
+    key = lambda *c: F.xxhash64("key", *c)
+    asked = F.when(F.length("rest") - F.col("s") == 1, F.when(F.col("s") == 0, F.array(key())).otherwise(F.array(key(F.substring("rest", 1, 1)), key(F.substring("rest", 2, 1))))).otherwise(F.array(key()))
+    held = rows.where("indexed").select(F.explode(F.array(key(), key("rest"))).alias("key"), "at").groupBy("key").agg(F.min("at").alias("first"))
+    return rows.select(F.explode(asked).alias("key"), "at").join(held, "key").where("first < at").select("at.*")
+
+
+def _tiled(met: DataFrame, threshold: int) -> DataFrame:
+    """The same for keys of many lines and any threshold: a tile holds some of the lines, and a line meets every tile of its key."""
+    met = met.withColumn("tiles", F.expr(f"int(n div {TILE}) + 1"))
     tiles = met.where("indexed").groupBy("key", F.expr("int(pmod(d, tiles))").alias("tile")).agg(F.collect_list(F.struct("at", "line")).alias("held"))
     probes = met.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "at", "line")
     close = F.exists("held", lambda h: (h["at"] < F.col("at")) & (F.levenshtein(h["line"], F.col("line"), threshold) >= 0))
-    return probes.join(tiles, ["key", "tile"]).where(close).select("at.*").distinct()
+    return probes.join(tiles, ["key", "tile"]).where(close).select("at.*")
 
 
 def kept_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -95,23 +150,26 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     ``min_chars`` or more also if one is near.
 
     Lines end at a line feed; the remaining ones are joined by line feeds. Null texts stay null and have no lines, an
-    empty text has one. Rows that repeat a doc_id and its text are one document. An empty table gives an empty table.
+    empty text has one. Rows that repeat a doc_id and its text are one document; of ties in doc_id the lesser hash of the
+    text comes first. Rows without doc_id come before all others. An empty table gives an empty table. Other columns stay
+    as they are, whatever their names; only n_lines and n_removed are refused.
     """
-    if clash := {"n_lines", "n_removed", "k", "th", "nos"} & set(docs.columns):
+    if clash := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are the operator's own")
-    # The id is taken from k afterwards, so that all steps ask for the same columns and share one shuffle of the texts.
-    named = _named(docs).drop("doc_id")
+    # Other columns travel in one of their own, so that no name can clash. The id is taken from k afterwards, so that all
+    # steps ask for the same columns and share one shuffle of the texts.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(None)
+    named = _named(docs.select("doc_id", "text", rest.alias("rest"))).drop("doc_id")
     joined = named.join(kept_lines(named.select("text", "k", "th"), threshold, min_chars, exact_chars), ["k", "th"], "left").withColumn("doc_id", F.when(F.col("k") != -(1 << 63), F.col("k")))
-    lines = F.split("text", "\n")
-    short = F.filter(F.transform("__lines", lambda x, i: F.when(F.length(x) < (min_chars if exact_chars is None else exact_chars), i)), lambda i: i.isNotNull())
+    short = F.filter(F.transform("lines", lambda x, i: F.when(F.length(x) < (min_chars if exact_chars is None else exact_chars), i)), lambda i: i.isNotNull())
     left = F.array_sort(F.concat(short, F.coalesce("nos", F.expr("CAST(array() AS array<int>)"))))
-    return (
-        joined.withColumn("__lines", lines).withColumn("__left", left)
-        .withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines") - F.size("__left")), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")))
-        .select(*docs.columns, "n_lines", "n_removed")
-    )
+    kept = F.when(F.col("text").isNotNull(), F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
+    count = lambda c: F.coalesce(F.when(F.col("text").isNotNull(), c), F.lit(0)).cast("long")
+    out = {"doc_id": F.col("doc_id"), "text": kept, **{c: F.col(f"rest.c{i}") for i, c in enumerate(others)}}
+    return joined.withColumn("lines", F.split("text", "\n")).withColumn("left", left).select(
+        *(out[c].alias(c) for c in docs.columns), count(F.size("lines")).alias("n_lines"), count(F.size("lines") - F.size("left")).alias("n_removed")
+    )
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,11 +45,35 @@ def test_like_brute_force(spark, threshold):
     assert got == brute(rows, threshold, 4)
 
 
-def test_small_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_crowded_keys(spark, monkeypatch, threshold):
+    rng = random.Random(threshold)
     monkeypatch.setattr(lines, "TILE", 2)
-    rows = [(i, "the common start of many lines " + str(i % 50) * 2 + " and the common end of them") for i in range(90)]
+    starts = ["the common start of many lines ", "the common start of many line "]
+    texts = [rng.choice(starts) + str(rng.randrange(40)) * rng.randrange(1, 3) + rng.choice(["", "a", "é", "aé"]) + " and the common end" for _ in range(70)]
+    texts += ["x" * rng.randrange(20, 24) for _ in range(8)] + ["ab" * rng.randrange(10, 14) + rng.choice(["", "a", "c"]) for _ in range(20)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(df, threshold).collect()) == brute(rows, threshold, 20)
+
+
+def test_a_common_half_line(spark):
+    """10,000 lines share their first half: no work for each pair."""
+    rng = random.Random(1)
+    rows = [(i, "the first half of every line is just the same: " + "".join(rng.choices("abcdefghij ", k=47))) for i in range(10_000)]
+    rows += [(10_000 + i, rows[i][1][:-1] + "z") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()) == brute(rows, 1, 20)
+    lines.dedup_lines(df.limit(10)).count()
+    began = time.time()
+    gone = {r.doc_id for r in lines.dedup_lines(df).collect() if r.n_removed}
+    assert gone == set(range(10_000, 10_050)) and time.time() - began < 40
+
+
+def test_any_other_column_stays(spark):
+    names = ("k", "th", "nos", "lines", "left", "rest", "at", "a.b")
+    df = spark.createDataFrame([(1, "x" * 30, *range(8)), (2, "x" * 30, *range(8))], f"doc_id long, text string, {', '.join(f'`{c}` int' for c in names)}")
+    got = sorted(map(tuple, lines.dedup_lines(df).collect()))
+    assert got == [(1, "x" * 30, *range(8), 1, 0), (2, "", *range(8), 1, 1)]
 
 
 def test_op4(spark, corpus, docs):
