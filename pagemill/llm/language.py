@@ -2,7 +2,7 @@
 
 Counts of the n-grams (hashed to ``BUCKETS`` buckets) are summed by language over all labelled documents; the matrix of
 log-probabilities has one row for each bucket and one column for each language, so its size is bounded by parameters.
-It is broadcast, and texts are scored by gathering the rows of their n-grams and adding them up.
+It is broadcast; a batch of texts is a sparse matrix of n-grams, whose product with it gives all scores at once.
 """
 
 from __future__ import annotations
@@ -61,15 +61,39 @@ class Model:
     def __init__(self, languages: list[str], logs: np.ndarray):
         self.languages, self.logs = languages, logs
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        """The most likely language and its posterior probability (uniform prior); ``und`` and 0 without a letter."""
-        if text is None or not self.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        at, total = grams(text), np.zeros(len(self.languages))
-        for i in range(0, len(at), BLOCK):
-            total += self.logs[at[i : i + BLOCK]].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The most likely language of each text and its posterior probability (uniform prior); ``und`` and 0 without a letter.
+
+        The n-grams of BLOCK places are looked up at a time, and added up by text; a longer text has several rows.
+        """
+        total, known = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        rows, owner, size = [], [], 0
+
+        def add():
+            if rows:
+                start = np.cumsum([0, *map(len, rows[:-1])])
+                np.add.at(total, owner, np.add.reduceat(self.logs[np.concatenate(rows)], start, axis=0, dtype=np.float64))
+            rows.clear()
+            owner.clear()
+
+        for i, text in enumerate(texts):
+            if text is None or not self.languages or not any(map(str.isalpha, text)):
+                continue
+            known[i] = True
+            at = grams(text)
+            for a in range(0, len(at), BLOCK):
+                rows.append(at[a : a + BLOCK])
+                owner.append(i)
+                size += len(rows[-1])
+                if size >= BLOCK:
+                    add()
+                    size = 0
+        add()
+        if not known.any():
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        best = total.argmax(axis=1)
+        sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], np.where(known, sure, 0.0)
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -91,7 +115,11 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; text alone is looked at."""
+    """``docs`` with lang_pred and score; text alone is looked at.
+
+    Null texts, and texts without a letter, are ``und`` with a score of 0. Each row is taken on its own, so repeated rows
+    have equal predictions; an empty table gives an empty table. Columns named lang_pred or score are refused.
+    """
     spark = docs.sparkSession
     if clash := {"lang_pred", "score"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are the operator's own")
@@ -102,8 +130,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         own = Model(*shared.value)
         for batch in batches:
-            found = [own.score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            names, scores = own.score(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -137,7 +137,7 @@ def _slots(given: dict[str, float], block_rows: int):
         goal = {s: given.get(s, n**TEMPERATURE if not given else n / total) for s, n in rows.items()}
         turns = schedule({s: -(-n // block_rows) for s, n in rows.items()}, goal)
         while some := list(islice(turns, STEP)):
-            yield pd.DataFrame({"__s": [s for s, _ in some], "mix_block": [b for _, b in some], "mix_slot": range(slot, slot + len(some))})
+            yield pd.DataFrame({"s": [s for s, _ in some], "mix_block": [b for _, b in some], "mix_slot": range(slot, slot + len(some))})
             slot += len(some)
 
     return run
@@ -153,7 +153,8 @@ def mix(
     resolution: None for the exact weights, else the units that weights are rounded to (and the most sources there may be).
     Rows of a source are taken in the order of a hash of ``key`` (ties: by ``key``; repeated rows are alike). The place
     within a source is an offset of its hash range plus a row number inside the range, so no source is sorted by one task.
-    Positions leave gaps after blocks that aren't full. An empty table gives an empty table.
+    Positions leave gaps after blocks that aren't full. An empty table gives an empty table. Other columns stay as they are,
+    whatever their names and nulls; only the four above are refused.
     """
     spark = df.sparkSession
     if clash := {"mix_rank", "mix_block", "mix_slot", "mix_position"} & set(df.columns):
@@ -163,7 +164,7 @@ def mix(
     if resolution is None:
         counted = settle(df.groupBy(name.alias("s")).count())
         total = counted.agg(F.sum("count")).first()[0] or 0
-        slots = settle(counted.repartition(1).mapInPandas(_slots(given, block_rows), "__s string, mix_block long, mix_slot long"))
+        slots = settle(counted.repartition(1).mapInPandas(_slots(given, block_rows), "s string, mix_block long, mix_slot long"))
     else:
         counted = df.groupBy(name.alias("s")).count().limit(resolution + 1).collect()  # a row for each source, not more than the resolution
         rows = {r["s"]: r["count"] for r in counted}
@@ -174,23 +175,26 @@ def mix(
         spans, cycles = phases({s: -(-n // block_rows) for s, n in rows.items()}, goal, resolution)
 
     bits = max(1, min(30, math.ceil(math.log2(max(2, total / group_rows)))))
+    # The columns travel in one of their own, so that no name can clash.
+    packed = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
     h = F.xxhash64(F.col(key).cast("string"))
-    dealt = df.withColumns({"__s": name, "__h": h, "__g": F.shiftrightunsigned(h, 64 - bits)})
-    before = Window.partitionBy("__s").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("__s", "__g").agg(F.count(F.lit(1)).alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__s", "__g").orderBy("__h", key)) - 1
-    ranked = dealt.withColumn("__i", inside).join(offsets, ["__s", "__g"]).withColumn("mix_rank", (F.col("__i") + F.col("__o")).cast("long"))
+    dealt = df.select(packed.alias("row"), name.alias("s"), h.alias("h"), F.shiftrightunsigned(h, 64 - bits).alias("g"), F.col(key).alias("key"))
+    before = Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("s", "g").agg(F.count(F.lit(1)).alias("n")).withColumn("o", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("s", "g").orderBy("h", "key")) - 1
+    ranked = dealt.withColumn("i", inside).join(offsets, ["s", "g"]).withColumn("mix_rank", (F.col("i") + F.col("o")).cast("long"))
     ranked = ranked.withColumn("mix_block", F.expr(f"mix_rank div {block_rows}"))
     if resolution is None:
-        placed = ranked.join(slots, ["__s", "mix_block"])
-        return placed.withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + mix_rank % {block_rows}")).select(*df.columns, "mix_rank", "mix_block", "mix_slot", "mix_position")
-    # Both tables have at most resolution * resolution rows, whatever the corpus holds.
-    span = F.broadcast(spark.createDataFrame(spans, "__s string, __p int, __first long, __len long, __slot long, __period long, __units long"))
-    cycle = F.broadcast(spark.createDataFrame(cycles, "__s string, __p int, __j long, __at long"))
-    placed = ranked.join(span, ["__s"]).where("mix_block >= __first and mix_block < __first + __len")
-    placed = placed.withColumn("__j", F.expr("(mix_block - __first) % __units")).join(cycle, ["__s", "__p", "__j"])
-    placed = placed.withColumn("mix_slot", F.expr("__slot + ((mix_block - __first) div __units) * __period + __at"))
-    return placed.withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + mix_rank % {block_rows}")).select(*df.columns, "mix_rank", "mix_block", "mix_slot", "mix_position")
+        placed = ranked.join(slots, ["s", "mix_block"])
+    else:
+        # Both tables have at most resolution * resolution rows, whatever the corpus holds.
+        span = F.broadcast(spark.createDataFrame(spans, "s string, phase int, first long, len long, slot long, period long, units long"))
+        cycle = F.broadcast(spark.createDataFrame(cycles, "s string, phase int, j long, place long"))
+        placed = ranked.join(span, ["s"]).where("mix_block >= first and mix_block < first + len")
+        placed = placed.withColumn("j", F.expr("(mix_block - first) % units")).join(cycle, ["s", "phase", "j"])
+        placed = placed.withColumn("mix_slot", F.expr("slot + ((mix_block - first) div units) * period + place"))
+    position = F.expr(f"mix_slot * {block_rows} + mix_rank % {block_rows}").alias("mix_position")
+    return placed.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)), "mix_rank", "mix_block", "mix_slot", position)
 
 
 def mixed_order(df: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:

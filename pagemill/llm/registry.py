@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import automaton, bpe, chat, exact, language, lines, mixing, rindex, simhash, syncmers
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_fingerprints": syncmers.op9_fingerprints,
     "op10_byte_bpe": bpe.op10_byte_bpe,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {

@@ -94,3 +94,52 @@ def test_three_equal_sources(spark):
         seen[r.source] += 1
         assert all(abs(seen[s] - t / 3) < 1 for s in ("s0", "s1", "s2"))
     assert t == 12_000
+
+
+def test_op1_like_a_simulation(spark, tmp_path):
+    """The query against the schedule worked out block by block, by its definition."""
+    from fractions import Fraction
+
+    rows = [(i, ("a", "b", None, "rare")[0 if i % 3 else 1 + i // 3 % 3], "x") for i in range(3000)] + [(5, "a", "again")]
+    spark.createDataFrame(rows, "doc_id long, source string, g string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op1_mix_sources(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    count = {}
+    for _, s, _ in rows:
+        count[s] = count.get(s, 0) + 1
+    left = {s: -(-n // mixing.BLOCK_ROWS) for s, n in count.items()}
+    done, order = dict.fromkeys(left, 0), []
+    while any(left[s] > done[s] for s in left):
+        open_ = {s: Fraction(count[s] ** 0.5) for s in left if left[s] > done[s]}
+        first, t, total = dict(done), 0, sum(open_.values())
+        share = {s: w / total for s, w in open_.items()}
+        while all(left[s] > done[s] for s in open_):
+            released = [s for s in open_ if (done[s] - first[s]) / share[s] < t + 1 and int((done[s] - first[s]) / share[s]) <= t]
+            s = min(released, key=lambda s: (-(-(done[s] - first[s] + 1) // share[s]), "null" if s is None else f"={s}"))
+            order.append((s, done[s]))
+            done[s] += 1
+            t += 1
+    assert sorted({(r.mix_slot, r.source, r.mix_block) for r in got}) == [(i, *x) for i, x in enumerate(order)]
+    for s in count:
+        assert sorted(r.mix_rank for r in got if r.source == s) == list(range(count[s]))
+    assert all(r.mix_position == r.mix_slot * mixing.BLOCK_ROWS + r.mix_rank % mixing.BLOCK_ROWS and r.mix_block == r.mix_rank // mixing.BLOCK_ROWS for r in got)
+    assert mixing.mix(spark.createDataFrame([], "doc_id long, source string"), resolution=None).count() == 0
+
+
+def test_exact_weights_over_a_million_blocks():
+    weights = {"a": 1.0, "b": 0.3, "c": 0.01, "d": 1e-5}
+    total, got, worst = sum(weights.values()), dict.fromkeys(weights, 0), 0.0
+    for t, (s, _) in enumerate(mixing.schedule(dict.fromkeys(weights, 10**6), weights), 1):
+        got[s] += 1
+        if t % 997 == 0:
+            worst = max(worst, *(abs(got[x] - t * w / total) for x, w in weights.items()))
+        if t == 10**6:
+            break
+    assert worst < 1
+
+
+def test_columns_of_any_name(spark):
+    names = ("s", "h", "g", "i", "o", "row", "key", "a.b")
+    df = spark.createDataFrame([(1, "x", *names), (2, None, *names)], f"doc_id long, source string, {', '.join(f'`{c}` string' for c in names)}")
+    for resolution in (None, 1000):
+        assert sorted(tuple(r)[:-4] for r in mixing.mix(df, resolution=resolution).collect()) == sorted(map(tuple, df.collect()))
