@@ -1,4 +1,8 @@
-"""From raw documents to token ids, in five stages."""
+"""From raw documents to token ids, in five stages.
+
+Every stage takes an empty table to an empty one, keeps rows that repeat (unless it says otherwise) and all columns of
+``documents``, and ignores what others hold, whatever their names and nulls.
+"""
 
 from __future__ import annotations
 
@@ -14,30 +18,47 @@ SURE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned; those without a letter, or too unsure, go."""
+    """Documents in one of the languages learned; those without a letter (or null, or empty), or too unsure, go.
+
+    Learned from rows with text and lang that aren't held out. Equal texts share their fate.
+    """
     model = language.fit(docs.where(~language.held_out()))
     return language.predict(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that came earlier: equal at any length but zero, or nearly so; n_chars follows."""
+    """Texts without the lines that came earlier: equal at any length but zero, or nearly so; n_chars follows.
+
+    All documents stay, also those that lose all their lines. Null texts stay null. Of rows that tie in doc_id, the lesser
+    hash of the text comes first; rows that repeat a doc_id and its text are one document and keep the same lines.
+    """
     return lines.dedup_lines(docs, exact_chars=1).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates."""
+    """The document with the least doc_id of each group of near-duplicates.
+
+    Null and empty texts are alike, so one of them stays. All rows that repeat the kept doc_id stay; a group without any
+    doc_id stays whole.
+    """
     kept = simhash.near_groups(docs).where("doc_id <=> component_id").select("doc_id")
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; source becomes a struct of its name and the document's mix_slot and mix_position."""
+    """All documents; source becomes a struct of its name and the document's mix_slot and mix_position.
+
+    A null source is a source of its own. Equal doc_ids are ordered at will, but each row has a position of its own.
+    """
     placed = F.struct(F.col("source").alias("name"), "mix_slot", "mix_position").alias("source")
     return mixing.mix(docs, resolution=None).select(*(placed if c == "source" else c for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, whether they decode to the text, and mix_slot and mix_position of documents that are mixed."""
+    """doc_id, n_tokens, ids, whether they decode to the text, and mix_slot and mix_position of documents that are mixed.
+
+    Null and empty texts have no ids.
+    """
     place = ("mix_slot", "mix_position") if isinstance(docs.schema["source"].dataType, T.StructType) else ()
     return bpe.encode(docs.select("doc_id", "text", *(F.col("source")[c].alias(c) for c in place)), keep=place)
 
