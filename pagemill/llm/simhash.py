@@ -209,7 +209,9 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _tally(batches):
-    """Counters of the shingles of a partition's texts, in slabs."""
+    """Counters of the shingles of a partition's texts, in slabs; most are zero or small, so they are compressed."""
+    import zlib
+
     import pyarrow as pa
 
     total = np.zeros(1 << COUNTERS, np.int64)
@@ -223,24 +225,28 @@ def _tally(batches):
                 total += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
                 waiting, n = [], 0
     slabs = total.reshape(16, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in slabs], pa.binary())], ["slab", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in slabs], pa.binary())], ["slab", "counts"])
 
 
 def _summed(group):
+    import zlib
+
     import pyarrow as pa
 
-    total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
-    return pa.table({"slab": group.column("slab").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in group.column("counts").to_pylist())
+    return pa.table({"slab": group.column("slab").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
     """How often the shingles of each counter occur in all texts: what the driver gets has a fixed size."""
+    import zlib
+
     tallied = docs.select("text").mapInArrow(_tally, "slab int, counts binary")
     # Tasks are added up in groups first, so that no group grows with their number beyond its root.
     dealt = tallied.withColumn("part", F.expr("spark_partition_id() div 64"))
     first = dealt.groupBy("slab", "part").applyInArrow(_summed, "slab int, counts binary")
     rows = first.groupBy("slab").applyInArrow(_summed, "slab int, counts binary").toArrow().sort_by("slab")
-    return np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()] or [np.zeros(1 << COUNTERS, np.int64)])
+    return np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in rows.column("counts").to_pylist()] or [np.zeros(1 << COUNTERS, np.int64)])
 
 
 def _sets(counts):
