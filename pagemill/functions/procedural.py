@@ -261,15 +261,27 @@ def html_page(html: str | None, headers: bool = False, images: bool = True) -> t
     content = [x for x in labels if x and x not in ("Page-Header", "Page-Footer", "Blank-Page")]
     least = max(1, len(content) // 2)
     is_table, is_diagram = content.count("Table") >= least, sum(x in ("Image", "Figure", "Diagram") for x in content) >= least
-    out = []
+    if not blocks:
+        return markdown_of(root) or html, is_table, is_diagram
+    kept = []
     for block, label in zip(blocks, labels):
         if label == "Blank-Page" or label in ("Page-Header", "Page-Footer") and not headers or label in ("Image", "Figure") and not images:
             continue
         _images(block, label in ("Image", "Figure"))
-        out.append(markdown_of(block))
-    text = "\n\n".join(x for x in out if x) if blocks else markdown_of(root)
-    # Blocks that all drop out leave an empty page; anything else that gives no text stays as it is.
-    return text or ("" if "Blank-Page" in labels or content == [] and labels else html), is_table, is_diagram
+        _plain(block)
+        if inner := "".join(map(_raw, block[2])).strip():
+            kept.append((inner, markdown_of(block)))
+    # Blocks that say nothing leave an empty page; elements without any text stay as they are.
+    return "\n\n".join(said for _, said in kept if said) or "\n\n".join(inner for inner, _ in kept), is_table, is_diagram
+
+
+def _plain(node) -> None:
+    """Without the attributes of the layout."""
+    for name in ("data-bbox", "data-label"):
+        node[1].pop(name, None)
+    for x in node[2]:
+        if not isinstance(x, str):
+            _plain(x)
 
 
 @F.pandas_udf(StringType())

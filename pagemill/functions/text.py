@@ -12,43 +12,61 @@ SPACES = r"[ \t\r\n\f\x0B]"
 FENCE = "```"
 
 
+#: The same class as characters, for the trimming functions.
+BLANK = " \t\r\n\f\x0B"
+#: Ends of lines, as Python's ``splitlines`` has them.
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with value worked out once, however often it is used, also by those who take fields of the result."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACES}+|{SPACES}+\z", "")
+    return F.btrim(c, F.lit(BLANK))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{SPACES}+\z", "")
+    return F.rtrim(c, F.lit(BLANK))
 
 
 def strip_outer_code_fence(c: Column) -> Column:
-    """The inner lines of a text that is one fenced block; any other text as it is, not even stripped."""
-    lines = F.split(strip(c), "\n", -1)
-    fenced = F.startswith(strip(c), F.lit(FENCE)) & (F.size(lines) >= 2) & (strip(F.element_at(lines, -1)) == FENCE)
-    return F.when(fenced, F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")).otherwise(c)
+    """The inner lines of a text that is one fenced block, joined by line feeds; any other text as it is, not even stripped."""
+
+    def inner(lines):
+        fenced = (F.size(lines) >= 2) & (strip(F.element_at(lines, -1)) == FENCE)
+        return F.when(fenced, F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")).otherwise(c)
+
+    return let(strip(c), lambda s: F.when(F.startswith(s, F.lit(FENCE)), let(F.split(s, LINE_END, -1), inner)).otherwise(c))
 
 
 def normalised_body(c: Column) -> Column:
     """Without an outer fence, stripped; the word null means nothing."""
-    body = strip(strip_outer_code_fence(c))
-    return F.when(F.lower(body) == "null", F.lit("")).otherwise(body)
+    return let(c, lambda x: let(strip(strip_outer_code_fence(x)), lambda body: F.when(F.lower(F.substring(body, 1, 5)) == "null", F.lit("")).otherwise(body)))
 
 
-#: A fenced header at the start and the rest; the header needs a line of its own before its end mark.
-FRONT_MATTER = rf"(?s)\A{SPACES}*---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)(.*)\z"
+#: A fenced header at the start; the header needs a line of its own before its end mark.
+FRONT_MATTER = rf"(?s)\A{SPACES}*---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
 
 def front_matter(c: Column) -> tuple[Column, Column]:
-    """Header (null if there is none) and body."""
-    has = c.rlike(FRONT_MATTER)
-    return F.when(has, F.regexp_extract(c, FRONT_MATTER, 1)), F.when(has, F.regexp_extract(c, FRONT_MATTER, 2)).otherwise(c)
+    """Header (null if there is none) and body. Only the header is captured; the body is what comes after it."""
+    whole = F.regexp_extract(c, FRONT_MATTER, 0)
+    header = F.when(F.startswith(F.ltrim(c, F.lit(BLANK)), F.lit("---")) & c.rlike(FRONT_MATTER), F.regexp_extract(c, FRONT_MATTER, 1))
+    return header, let(F.length(whole), lambda n: F.when(n > 0, F.substring(c, n + 1, F.length(c))).otherwise(c))
+
 
+def mapping(header: Column) -> Column:
+    """key and value (unquoted) of the ``key: value`` lines of a header, without comments."""
+    lines = F.filter(F.transform(F.split(header, "\n", -1), strip), lambda x: ~F.startswith(x, F.lit("#")) & F.contains(x, F.lit(":")))
+    value = lambda x: F.regexp_replace(strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))), r"\A['\"]+|['\"]+\z", "")
+    return F.transform(lines, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), value(x).alias("value")))
 
-def mapping_value(header: Column, key: str) -> Column:
-    """The value of ``key: value`` lines of a header, unquoted; of repeated keys the last counts, comments don't."""
-    lines = F.transform(F.split(header, "\n", -1), strip)
-    own = F.filter(lines, lambda x: ~F.startswith(x, F.lit("#")) & F.contains(x, F.lit(":")) & (strip(F.substring_index(x, ":", 1)) == key))
-    last = F.get(own, F.size(own) - 1)
-    return F.regexp_replace(strip(F.substring(last, F.instr(last, ":") + 1, F.length(last))), r"\A['\"]+|['\"]+\z", "")
+
+def mapping_value(pairs: Column, key: str) -> Column:
+    """The value of a key among ``mapping``'s pairs; of repeated keys the last counts."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"]
 
 
 def language(c: Column) -> Column:
@@ -70,14 +88,18 @@ def rotation(c: Column) -> Column:
 
 def metadata(header: Column) -> Column:
     """language, rotation_valid, rotation_correction, is_table, is_diagram from a header; a null header gives the defaults."""
-    of = lambda key: mapping_value(header, key)
-    return F.struct(
-        language(of("primary_language")).alias("primary_language"),
-        flag(of("is_rotation_valid"), True).alias("is_rotation_valid"),
-        F.coalesce(rotation(of("rotation_correction")), F.lit(0)).alias("rotation_correction"),
-        flag(of("is_table"), False).alias("is_table"),
-        flag(of("is_diagram"), False).alias("is_diagram"),
-    )
+
+    def fields(pairs):
+        of = lambda key: mapping_value(pairs, key)
+        return F.struct(
+            language(of("primary_language")).alias("primary_language"),
+            flag(of("is_rotation_valid"), True).alias("is_rotation_valid"),
+            F.coalesce(rotation(of("rotation_correction")), F.lit(0)).alias("rotation_correction"),
+            flag(of("is_table"), False).alias("is_table"),
+            flag(of("is_diagram"), False).alias("is_diagram"),
+        )
+
+    return let(mapping(header), fields)
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -147,14 +169,16 @@ def image_alt(alt: Column, page: Column, nth: Column) -> Column:
 
 def resolve_images(c: Column, page: Column, paths: Column) -> Column:
     """Placeholders replaced by a page's images in order; what is left over goes, images left over are appended."""
-    body = rstrip(c)
-    found = F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(0))
-    alts = F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(1))
-    pieces = F.split(body, PLACEHOLDER, -1)
     link = lambda alt, i: F.concat(F.lit("!["), image_alt(alt, page, i + 1), F.lit("]("), F.get(paths, i), F.lit(")"))
-    filled = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.least(F.size(found), F.size(paths)), link(F.get(alts, i), i)).otherwise(F.lit("")))), "")
-    rest = F.transform(F.filter(F.transform(paths, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["i"] >= F.size(found)), lambda x: link(F.lit(""), x["i"]))
-    return F.when(F.coalesce(F.size(paths), F.lit(0)) <= 0, without_placeholders(c)).otherwise(strip(F.concat_ws("\n\n", rstrip(filled), F.when(F.size(rest) > 0, F.array_join(rest, "\n\n")))))
+    parts = lambda body: F.struct(F.split(body, PLACEHOLDER, -1).alias("pieces"), F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(1)).alias("alts"))
+
+    def placed(x):
+        found = F.size(x["alts"])
+        filled = F.array_join(F.transform(x["pieces"], lambda p, i: F.concat(p, F.when(i < F.least(found, F.size(paths)), link(F.get(x["alts"], i), i)).otherwise(F.lit("")))), "")
+        rest = F.transform(F.slice(paths, found + 1, F.greatest(F.size(paths) - found, F.lit(0))), lambda p, i: link(F.lit(""), i + found))
+        return strip(F.concat_ws("\n\n", rstrip(filled), F.when(F.size(rest) > 0, F.array_join(rest, "\n\n"))))
+
+    return F.when(F.coalesce(F.size(paths), F.lit(0)) <= 0, without_placeholders(c)).otherwise(let(rstrip(c), lambda body: let(parts(body), placed)))
 
 
 def page_marker(page: Column, namespace: str) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import layout as L
 from ..functions import procedural as P
@@ -17,20 +16,29 @@ PICTURES = ("image", "figure", "picture")
 PARSERS = ("markdown", "dots_layout_json", "infinity_layout_json", "deepseek_markdown", "unlimited_ocr", "svg", "chandra_html")
 
 
-def segment_blocks(responses: DataFrame, key: list[str], column: str = "raw_response") -> DataFrame:
-    """key and markdown: lines cut into blocks at marks, without the marks and without blocks of pictures.
+def segmented(c: Column) -> Column:
+    """Lines cut into blocks at marks, without the marks and without blocks of pictures. One pass over the lines of a row."""
 
-    Blocks are islands of the running count of marks in a page; each page is a group of its own.
-    """
-    lines = responses.select(*key, F.posexplode(F.split(column, "\n", -1)).alias("no", "raw")).withColumn("line", T.rstrip(F.col("raw"))).where("line <> ''")
-    form = lambda i: F.when(F.col("line").rlike(MARK), F.regexp_extract("line", MARK, i)).when(F.col("line").rlike(BARE_MARK), F.regexp_extract("line", BARE_MARK, i))
-    marked = lines.withColumn("mark", F.lower(form(1))).withColumn("line", F.when(form(1).isNotNull(), T.strip(form(2))).otherwise(F.col("line")))
-    block = F.count("mark").over(Window.partitionBy(*key).orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
-    blocks = marked.withColumn("block", block).groupBy(*key, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("text"), F.max("mark").alias("mark"))
-    kept = blocks.where(F.col("mark").isNull() | ~F.col("mark").isin(*PICTURES))
-    body = kept.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
-    clean = T.strip(T.collapse_blank_lines(F.replace(T.strip(F.col("body")), F.lit(T.END_OF_SENTENCE), F.lit(""))))
-    return responses.select(*key).join(body, key, "left").select(*key, F.coalesce(clean, F.lit("")).alias("markdown"))
+    def line(raw):
+        form = lambda x, i: F.when(x.rlike(MARK), F.regexp_extract(x, MARK, i)).when(x.rlike(BARE_MARK), F.regexp_extract(x, BARE_MARK, i))
+        return F.struct(F.lower(form(raw, 1)).alias("mark"), F.coalesce(T.strip(form(raw, 2)), raw).alias("text"))
+
+    lines = F.transform(F.filter(F.transform(F.split(c, "\n", -1), T.rstrip), lambda x: x != ""), line)
+    start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("skip"))
+
+    def step(so_far, x):
+        opens = x["mark"].isNotNull()
+        skip = F.when(opens, x["mark"].isin(*PICTURES)).otherwise(so_far["skip"])
+        gap = F.when(so_far["text"].isNull(), F.lit("")).when(opens, F.lit("\n\n")).otherwise(F.lit("\n"))
+        return F.struct(F.when(skip, so_far["text"]).otherwise(F.concat(F.coalesce(so_far["text"], F.lit("")), gap, x["text"])).alias("text"), skip.alias("skip"))
+
+    body = F.coalesce(F.aggregate(lines, start, step)["text"], F.lit(""))
+    return T.strip(T.collapse_blank_lines(F.replace(T.strip(body), F.lit(T.END_OF_SENTENCE), F.lit(""))))
+
+
+def segment_blocks(responses: DataFrame, key: list[str], column: str = "raw_response") -> DataFrame:
+    """key and markdown of each row, also where rows share a key; a null response is empty."""
+    return responses.select(*key, segmented(F.coalesce(F.col(column), F.lit(""))).alias("markdown"))
 
 
 def parse(responses: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
@@ -55,11 +63,10 @@ def parse(responses: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame
     laid = cells.withColumn("metadata", flagged(flags)).withColumn("markdown", F.coalesce(said, T.normalised_body(F.col("__raw")))).drop("__cells")
     html = of("chandra_html").withColumn("__page", P.convert_html("__raw"))
     html = html.withColumn("metadata", flagged(F.col("__page"))).withColumn("markdown", F.col("__page.markdown")).drop("__page")
-    blocks = of("unlimited_ocr")
-    segmented = blocks.join(segment_blocks(blocks, ["doc_id", "page_index"], "__raw"), ["doc_id", "page_index"]).withColumn("metadata", defaults).select(*plain.columns)
+    blocks = of("unlimited_ocr").withColumn("metadata", defaults).withColumn("markdown", segmented(F.col("__raw")))
     known = F.coalesce(F.col("parser").isin(*parsers), F.lit(False))
     other = given.where(~known).withColumn("metadata", defaults).withColumn("markdown", F.raise_error(F.concat(F.lit("unknown parser: "), F.coalesce("parser", F.lit("none")))).cast("string"))
-    branches = {("markdown",): plain, ("deepseek_markdown",): grounded, ("svg",): svg, ("dots_layout_json", "infinity_layout_json"): laid, ("chandra_html",): html, ("unlimited_ocr",): segmented}
+    branches = {("markdown",): plain, ("deepseek_markdown",): grounded, ("svg",): svg, ("dots_layout_json", "infinity_layout_json"): laid, ("chandra_html",): html, ("unlimited_ocr",): blocks}
     out = other
     for names, branch in branches.items():
         if {*names} & {*parsers}:

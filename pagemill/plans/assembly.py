@@ -92,14 +92,14 @@ ATTACH = f"""WITH {PAGES} SELECT doc_id, page_index, CAST(n_images AS BIGINT) AS
   coalesce(list_aggregate(list_transform(range(1, n_images + 1), lambda i: 'page-' || (page_index + 1) || '-image-' || i || '.png'), 'string_agg', '|'), '') AS images FROM p"""
 
 
-def attempts(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    """Events of a user, in their order, are the attempts at one page; all, or the first ``most``."""
+def attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user, in their order, are the attempts at one page."""
     from pyspark.sql.window import Window
 
     e = spark.read.parquet(f"{sf}/events.parquet")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.expr("CASE event_type WHEN 'view' THEN 'invalid' WHEN 'signup' THEN 'valid' WHEN 'purchase' THEN 'fatal' ELSE IF(event_id % 3 = 0, 'invalid', 'error') END")
-    return e.withColumn("attempt", F.row_number().over(order)).where("true" if most is None else f"attempt <= {most}").select(
+    return e.withColumn("attempt", F.row_number().over(order)).select(
         F.col("user_id").alias("doc_id"), F.lit(0).alias("page_index"), "attempt", kind.alias("outcome"), ((F.col("event_id") % 4) * 90).cast("int").alias("correction"),
         F.when(kind.isin("error", "fatal"), F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"), (F.col("event_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 11).alias("completion_tokens"),
     )
@@ -107,24 +107,16 @@ def attempts(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame
 
 ATTEMPTS = """a AS (SELECT doc_id, 0 AS page_index, attempt, outcome, correction, CASE WHEN outcome IN ('error', 'fatal') THEN 'e' || event_id END AS error, event_id % 100 AS prompt_tokens, event_id % 11 AS completion_tokens FROM (
   SELECT user_id AS doc_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS attempt, CAST(event_id % 4 * 90 AS INTEGER) AS correction,
-    CASE event_type WHEN 'view' THEN 'invalid' WHEN 'signup' THEN 'valid' WHEN 'purchase' THEN 'fatal' ELSE CASE WHEN event_id % 3 = 0 THEN 'invalid' ELSE 'error' END END AS outcome FROM events) WHERE attempt <= 12),
+    CASE event_type WHEN 'view' THEN 'invalid' WHEN 'signup' THEN 'valid' WHEN 'purchase' THEN 'fatal' ELSE CASE WHEN event_id % 3 = 0 THEN 'invalid' ELSE 'error' END END AS outcome FROM events)),
 r AS (SELECT *, CAST(coalesce(sum(CASE WHEN outcome = 'invalid' THEN correction ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 360 AS INTEGER) AS rotation FROM a)"""
 
 
 def cumulative_rotation(spark: SparkSession, sf: str) -> DataFrame:
-    """The first twelve attempts, as its SQL has it."""
-    return D.with_rotation(attempts(spark, sf, 12)).select("doc_id", "attempt", "rotation", D.backoff(F.col("attempt")).alias("wait"))
-
-
-ROTATION = f"WITH {ATTEMPTS} SELECT doc_id, attempt, rotation, CAST(least(pow(2, attempt - 1), 8) AS BIGINT) AS wait FROM r"
-
-
-def cumulative_rotation_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every attempt."""
     return D.with_rotation(attempts(spark, sf)).select("doc_id", "attempt", "rotation", D.backoff(F.col("attempt")).alias("wait"))
 
 
-ROTATION_ALL = f"WITH {ATTEMPTS.replace(' WHERE attempt <= 12', '')} SELECT doc_id, attempt, rotation, CAST(CASE WHEN attempt > 3 THEN 8 ELSE pow(2, attempt - 1) END AS BIGINT) AS wait FROM r"
+ROTATION = f"WITH {ATTEMPTS} SELECT doc_id, attempt, rotation, CAST(CASE WHEN attempt > 3 THEN 8 ELSE pow(2, attempt - 1) END AS BIGINT) AS wait FROM r"
 
 
 def reduce_attempts(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +139,5 @@ QUERIES = {
     "failed_page_markdown": (failed_page_markdown, FAILED_MD),
     "attach_page_images": (attach_page_images, ATTACH),
     "cumulative_rotation": (cumulative_rotation, ROTATION),
-    "cumulative_rotation_all": (cumulative_rotation_all, ROTATION_ALL),
     "reduce_attempts": (reduce_attempts, REDUCE),
 }

@@ -40,7 +40,8 @@ def convert(responses: DataFrame, images: DataFrame | None = None, config: Conve
     pages = page_results(responses, config)
     if images is not None:
         placed = D.attach_images(pages, images)
-        pages = placed.withColumn("markdown", F.when(F.col("status") == "failed", F.col("markdown")).otherwise(T.resolve_images(F.col("markdown"), F.col("page_index"), F.col("images"))))
+        # Failed pages, too: their images follow the comment.
+        pages = placed.withColumn("markdown", T.resolve_images(F.col("markdown"), F.col("page_index"), F.col("images")))
         pages = pages.withColumn("n_images", F.size("images").cast("long"))
     else:
         pages = pages.withColumn("n_images", F.lit(0).cast("long"))

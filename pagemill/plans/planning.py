@@ -75,11 +75,11 @@ REPORT = f"WITH {FILES}, o AS (SELECT output, first_value(path) OVER w AS first_
 
 
 def skip_existing(spark: SparkSession, sf: str) -> DataFrame:
-    done = _t(spark, sf, "pages").where("page_id % 3 = 0").select(F.expr("concat('md/F', page_id % 61, '.md')").alias("output")).distinct()
+    done = _t(spark, sf, "pages").where("page_id % 61 % 3 = 0").select(F.expr("concat('md/F', page_id % 61, '.md')").alias("output")).distinct()
     return Pl.plan(_files(spark, sf), done)
 
 
-SKIP = f"WITH {FILES} SELECT path, output FROM n WHERE output NOT IN (SELECT 'md/F' || (page_id % 61) || '.md' FROM pages WHERE page_id % 3 = 0)"
+SKIP = f"WITH {FILES} SELECT path, output FROM n WHERE output NOT IN (SELECT 'md/F' || (page_id % 61) || '.md' FROM pages WHERE page_id % 61 % 3 = 0)"
 
 
 def page_names(spark: SparkSession, sf: str) -> DataFrame:

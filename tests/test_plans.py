@@ -51,8 +51,8 @@ def test_every_attempt_has_its_rotation(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-    for name in ("cumulative_rotation_all", "reduce_attempts"):
+    for name in ("cumulative_rotation", "reduce_attempts"):
         got = sorted(map(tuple, registry.QUERIES[name](spark, sf).collect()), key=str)
         assert got == sorted(con.execute(registry.ORACLE[name]).fetchall(), key=str)
-        if name == "cumulative_rotation_all":
+        if name == "cumulative_rotation":
             assert len(got) == spark.read.parquet(f"{sf}/events.parquet").count()
