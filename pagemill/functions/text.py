@@ -214,6 +214,34 @@ def output_path(path: Column, root: Column | None = None, base: str | None = Non
     return F.concat(root if root is not None else F.lit(out), F.lit("/"), F.regexp_replace(relative, r"\.[^./]+\z", ""), F.lit(".md"))
 
 
+def default_path(path: Column, first: Column, last: Column, out: str = "md") -> Column:
+    """out/stem.p1-9.md for the pages from first to last, counted from 1."""
+    return F.concat(F.lit(f"{out}/"), stem(path), F.lit(".p"), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(".md"))
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, r"\A.*/", ""), r"\.[^./]+\z", "")
+
+
+def image_name(page: Column, image: Column) -> Column:
+    """The name of an image that a page holds; both numbers count from 1."""
+    return F.concat(F.lit("page-"), page.cast("string"), F.lit("-image-"), image.cast("string"), F.lit(".png"))
+
+
+def png_name(path: Column, index: Column) -> Column:
+    """The name of a rendered page; the index counts from 0."""
+    return F.concat(stem(path), F.lit("-"), index.cast("string"), F.lit(".png"))
+
+
+#: What an error says of a response's body, in code points.
+BODY_SHOWN = 500
+
+
+def http_error(status: Column, body: Column) -> Column:
+    """``HTTP status: body``; only the start of a long body is shown, a null one is empty."""
+    return F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), F.substring(F.coalesce(body, F.lit("")), 1, BODY_SHOWN))
+
+
 def page_name(page: Column, total: Column) -> Column:
     """p0001, with as many digits as the largest page number needs, four at least."""
     digits = F.greatest(F.lit(4), F.length(total.cast("string")), F.length(page.cast("string")))

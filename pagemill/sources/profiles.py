@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .prompts import OF_MODEL
+
 IMAGE_TOKENS = "<|img|><|imgpad|><|endofimg|>"
 STOP, LENGTH = ["", "stop", "end_turn"], ["", "stop", "end_turn", "length"]  # "" stands for no reason given
 
@@ -67,7 +69,14 @@ def render_profiles(spark: SparkSession) -> DataFrame:
 
 
 def model_profiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODELS, MODEL_SCHEMA)
+    """All profiles, with the prompt of each."""
+    return spark.createDataFrame([(*m, OF_MODEL[m[0]]) for m in MODELS], f"{MODEL_SCHEMA}, prompt string")
+
+
+def listing(spark: SparkSession) -> DataFrame:
+    """name and two lines about each profile, for people who look for a service."""
+    said = F.format_string("%s (model %s)\n  parser %s, render profile %s, at most %s tokens", "name", "model", "parser", "profile", F.col("max_tokens").cast("string"))
+    return model_profiles(spark).select("name", said.alias("lines"))
 
 
 def model_keys(spark: SparkSession) -> DataFrame:

@@ -101,3 +101,21 @@ def test_svg_and_json():
 )
 def test_html(html, want):
     assert P.html_page(html) == want
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ('<div data-label="Text"></div>', ""),
+        ('<div data-label="Text" data-bbox="1 2 3 4"><p></p></div>', "<p></p>"),
+        ('<div data-label="Blank-Page">x</div>', ""),
+        ('<div data-label="Text"><p>a</p></div><div data-label="Text"></div>', "a"),
+    ],
+)
+def test_html_blocks_without_text(given, want):
+    assert P.html_page(given)[0] == want
+
+
+@pytest.mark.parametrize("given", ["```\r\na\r\nb\r\n```", "```md\na\x0bb\n```", " ```\na b\n```\n"])
+def test_line_ends_of_fences(spark, given):
+    assert one(spark, text.strip_outer_code_fence, given) == P.unfenced(given) == "a\nb"

@@ -116,3 +116,39 @@ def test_assembly_edges(spark):
     rows = spark.createDataFrame([("a", 1, "b"), ("a", 0, "a "), ("a", 2, " "), ("e", 0, " "), ("e", 1, None)], "doc_id string, page_index int, markdown string")
     assert dict(documents.assemble(rows).collect()) == {"a": "a \n\nb\n", "e": ""}
     assert dict(documents.assemble_compact(rows.where("doc_id = 'a'")).collect()) == {"a": "a\nb\n"}
+
+
+def test_batches(spark):
+    from pagemill.operators import batch
+
+    tasks = spark.createDataFrame([(1, 0, 0), (1, 1, 3), (1, 2, 0), (1, 3, 1), (2, 0, 0), (3, 5, None)], "batch long, position long, code long")
+    judged = batch.outcomes(tasks, fail_fast=True)
+    assert sorted((r.batch, r.position, r.status) for r in judged.collect()) == [(1, 0, "done"), (1, 1, "failed"), (1, 2, "skipped"), (1, 3, "skipped"), (2, 0, "done"), (3, 5, "failed")]
+    assert sorted(map(tuple, batch.failure_report(judged).collect())) == [(1, 1, 3), (3, 5, 1)]
+    assert sorted(map(tuple, batch.summary(batch.outcomes(tasks)).collect())) == [(1, 2, 2, 0, 1), (2, 1, 0, 0, 0), (3, 0, 1, 0, 1)]
+
+
+def test_profiles_have_prompts(spark):
+    from pagemill.sources import profiles
+
+    rows = profiles.model_profiles(spark).collect()
+    assert all(r.prompt for r in rows) and {r.name for r in rows if "{width}" in r.prompt} == {r.name for r in rows if r.parser == "svg"}
+    assert profiles.listing(spark).count() == len(rows)
+
+
+def test_attempts_keep_their_own_blocks(spark):
+    from pagemill.operators import pages
+
+    rows = [(1, 0, 1, "<|det|>title [1]<|/det|> A\nx"), (1, 0, 2, "<|det|>title [1]<|/det|> B\ny\n<|det|>image [2]<|/det|> z"), (1, 1, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, attempt int, raw_response string")
+    assert sorted(map(tuple, pages.segment_blocks(df, ["doc_id", "page_index", "attempt"]).collect())) == [(1, 0, 1, "A\nx"), (1, 0, 2, "B\ny"), (1, 1, 1, "")]
+
+
+def test_images_of_failed_pages_stay(spark):
+    from pagemill.plans import convert
+
+    log = [(1, 0, 1, "markdown", "text", None, False, 1, 1), (1, 1, 1, "markdown", None, "HTTPError: busy", True, 1, 1)]
+    responses = spark.createDataFrame(log, "doc_id long, page_index int, attempt int, parser string, raw_response string, error string, fatal boolean, prompt_tokens long, completion_tokens long")
+    images = spark.createDataFrame([(1, 1, 1, "d/1.png")], "doc_id long, page_index int, image_index int, path string")
+    documents, stats = convert.convert(responses, images)
+    assert "conversion_failed" in documents.first().markdown and "![Page 2 image 1](d/1.png)" in documents.first().markdown and stats.first().extracted_images == 1
