@@ -64,14 +64,18 @@ def _contract(batches):
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node it reaches) for every node of ``edges`` (two long columns u, v).
 
-    Each step first contracts what lies in one partition, so that few edges are done at once. Work per step is linear in the
-    edges; hubs are aggregated before the shuffle, and skewed joins are split by AQE. Self-links and repeated edges are
-    ignored. No edges: no rows.
+    Each step first contracts what lies in one partition. Work per step is linear in the edges; hubs are aggregated before
+    the shuffle, and skewed joins are split by AQE. As soon as fewer than ``MOST`` edges are left, which a task holds
+    anyway, they are contracted together and nothing is left to do. Self-links and repeated edges are ignored. No edges:
+    no rows.
     """
     step = lambda x: settle(x.mapInArrow(_contract, "u long, v long"))
     now = step(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     while (mark := _signature(now)) != before and mark[0]:
+        if mark[0] < MOST:
+            now = step(now.coalesce(1))
+            break
         before = mark
         now = step(_small_star(_large_star(now)))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

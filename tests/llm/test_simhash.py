@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from pagemill.llm import graph, simhash
@@ -60,7 +61,9 @@ def test_links_are_whole(spark, monkeypatch):
         assert got == brute_components(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 22, 50])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST", most)  # few edges at a time: by steps
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500, x) for x in range(501, 700)] + [(x, x + 1) for x in range(800, 860)] + [(1, 1)]
     got = dict(graph.components(spark.createDataFrame(edges, "u long, v long")).collect())
