@@ -400,6 +400,11 @@ def _verify(group):
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _verified(tiled: DataFrame, *keys: str) -> DataFrame:
+    """Edges of each tile. Dealt by all keys: after a join on root, grouping alone would leave a component's tiles in one task."""
+    return tiled.repartition(*keys).groupBy(*keys).applyInArrow(_verify, "u long, v long")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of near-duplicates: the least doc_id reached over pairs whose sets of five-word shingles
     have a Jaccard similarity of 0.8 or more.
@@ -432,7 +437,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     everywhere = F.expr(f"IF(tiles > 1 AND pmod(xxhash64(1, node), n) < {REPRESENTATIVES}, sequence(0, tiles - 1), array(tile))")
     plain = (F.lit(False).alias("odd"), F.col("node").alias("label"))
     tiled = placed.select("root", "node", "text", *plain, F.explode(everywhere).alias("tile"))
-    edges = tiled.groupBy("root", "tile").applyInArrow(_verify, "u long, v long")
+    edges = _verified(tiled, "root", "tile")
     if tiles.where("tiles > 1").head(1):
         edges = settle(edges)
         edges = edges.unionByName(_between_tiles(placed.where("tiles > 1"), edges))
@@ -453,4 +458,4 @@ def _between_tiles(placed: DataFrame, edges: DataFrame) -> DataFrame:
     asking = labelled.where("odd").withColumn("block", F.col("tile")).withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
     asked = labelled.join(blocks, "root").withColumn("odd", F.lit(False))
     columns = ("root", "block", "tile", "node", "text", "odd", "label")
-    return asking.select(*columns).unionByName(asked.select(*columns)).groupBy("root", "block", "tile").applyInArrow(_verify, "u long, v long")
+    return _verified(asking.select(*columns).unionByName(asked.select(*columns)), "root", "block", "tile")

@@ -136,6 +136,14 @@ def test_near_groups_with_crowded_keys(spark, monkeypatch):
         assert dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def test_tiles_of_one_component_are_dealt_apart(spark):
+    tiled = spark.range(64).selectExpr("id div 64 AS root", "id AS node", "id % 8 AS tile", "'a b c d e ' || id AS text", "false AS odd", "id AS label")
+    joined = tiled.join(tiled.select("root").distinct().hint("merge"), "root")
+    plan = lambda edges: edges._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(root#\d+L, tile#\d+L", plan(joined.groupBy("root", "tile").applyInArrow(simhash._verify, "u long, v long")))
+    assert re.search(r"hashpartitioning\(root#\d+L, tile#\d+L", plan(simhash._verified(joined, "root", "tile")))
+
+
 def test_near_groups_with_odd_rows(spark, docs):
     got = {(r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (8, 7), (9, 9)} <= got
