@@ -48,16 +48,7 @@ DECODE = "SELECT w, string_agg(bytes, '' ORDER BY pos) AS decoded, count(*) AS n
 
 
 class Codec:
-    """Encodes and decodes with one vocabulary; made once in each worker."""
-
-    made: dict[str, Codec] = {}
-
-    @classmethod
-    def of(cls, ranks_file: bytes, pattern: str) -> Codec:
-        key = hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
-        if key not in cls.made:
-            cls.made[key] = cls(ranks_file, pattern)
-        return cls.made[key]
+    """Encodes and decodes with one vocabulary; a task makes its own and closes it, so that no worker keeps it for later stages."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
         import duckdb
@@ -78,6 +69,13 @@ class Codec:
             self.db.register(name, rows)
         self.db.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v")
 
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.db.close()
+        self.known.clear()
+
     def _rows(self, lists):
         import numpy as np
         import pyarrow as pa
@@ -187,20 +185,20 @@ def _run(vocabulary, pattern: str, full: bool, keep: tuple[str, ...] = ()):
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec.of(vocabulary.value, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at in range(0, len(texts), 500):
-                ids = batch.column("doc_id").slice(at, 500)
-                if full:
-                    rows = [(n, [int(x) for x in i.split()], d == t.encode()) for (n, i, d), t in zip(codec.encode(texts[at : at + 500]), texts[at : at + 500])]
-                    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "round_trip": pa.bool_()}
-                else:
-                    rows = [(n, sha(i), sha(d)) for n, i, d in codec.encode(texts[at : at + 500])]
-                    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-                kept = [batch.column(name).slice(at, 500) for name in keep]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())), *kept], ["doc_id", *kinds, *keep])
+        with Codec(vocabulary.value, pattern) as codec:
+            for batch in batches:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                for at in range(0, len(texts), 500):
+                    ids = batch.column("doc_id").slice(at, 500)
+                    if full:
+                        rows = [(n, [int(x) for x in i.split()], d == t.encode()) for (n, i, d), t in zip(codec.encode(texts[at : at + 500]), texts[at : at + 500])]
+                        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "round_trip": pa.bool_()}
+                    else:
+                        rows = [(n, sha(i), sha(d)) for n, i, d in codec.encode(texts[at : at + 500])]
+                        kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+                    kept = [batch.column(name).slice(at, 500) for name in keep]
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())), *kept], ["doc_id", *kinds, *keep])
 
     return run
 
@@ -231,11 +229,11 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec.of(vocabulary.value, pattern)
-        for batch in batches:
-            lists = [x or [] for x in batch.column("ids").to_pylist()]
-            for at in range(0, len(lists), 500):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), pa.array(codec.decode(lists[at : at + 500]), pa.binary())], ["doc_id", "bytes"])
+        with Codec(vocabulary.value, pattern) as codec:
+            for batch in batches:
+                lists = [x or [] for x in batch.column("ids").to_pylist()]
+                for at in range(0, len(lists), 500):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), pa.array(codec.decode(lists[at : at + 500]), pa.binary())], ["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 

@@ -15,7 +15,8 @@ TRUE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64de
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec.of(FILE, P.PATTERN)
+    with bpe.Codec(FILE, P.PATTERN) as made:
+        yield made
 
 
 TEXTS = st.lists(st.one_of(st.text(max_size=60), st.text("aeinst \n'", max_size=80), st.sampled_from(["<|endoftext|>", "don't  WON'T", "   \n\n x", "１２３ ٣", "aaaa" * 30, "👩‍👩‍👧‍👦" * 3])), max_size=8)
@@ -74,3 +75,11 @@ def test_long_texts_are_decoded_in_parts(codec, monkeypatch):
     monkeypatch.setattr(bpe, "MANY", 7)
     texts = ["the quick brown fox jumps over the lazy dog " * 3, "", "cat", "the dog " * 9]
     assert [raw.decode() for _, _, raw in codec.encode(texts)] == texts
+
+
+def test_a_task_leaves_no_codec_behind():
+    with bpe.Codec(FILE, P.PATTERN) as made:
+        made.learn(["unheardofpiece"])
+    assert not made.known
+    with pytest.raises(Exception, match="closed"):
+        made.db.execute("SELECT 1")
