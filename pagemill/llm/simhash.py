@@ -9,7 +9,7 @@ the links found is passed on: never all pairs. Keys held by more than ``HOT`` fi
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -192,20 +192,24 @@ BOUND, BOUND_SMALL, SMALL = 74, 88, 64
 CROWD = 2048
 #: Documents and bytes of text of a tile in which candidates are verified, and representatives that every tile sees.
 TILE_DOCS, TILE_BYTES, REPRESENTATIVES = 2048, 1 << 24, 16
+#: Texts whose words are held at a time.
+SLICE = 256
 #: Bits of a shingle's hash that choose its counter: 2**18 counters, 1 MB, whatever the corpus holds.
 COUNTERS = 18
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The different five-word shingles of each text (A-Z lower-cased) as sorted hashes; fewer words: the whole sequence."""
-    out = []
-    for value, _, _ in Words([t.lower() for t in texts]).words:
-        n = min(WORDS, len(value))
-        h = np.full(len(value) - n + 1 if n else 0, n, np.uint64)
-        for i in range(n):
-            h = mix64(h + value[i : i + len(h)])
-        out.append(np.unique(h))
-    return out
+def shingle_sets(texts: list[bytes]):
+    """The different five-word shingles of each text (A-Z lower-cased) as sorted hashes; fewer words: the whole sequence.
+
+    Texts are taken ``SLICE`` at a time, so that not the words of all of them are held.
+    """
+    for at in range(0, len(texts), SLICE):
+        for value, _, _ in Words([t.lower() for t in texts[at : at + SLICE]]).words:
+            n = min(WORDS, len(value))
+            h = np.full(len(value) - n + 1 if n else 0, n, np.uint64)
+            for i in range(n):
+                h = mix64(h + value[i : i + len(h)])
+            yield np.unique(h)
 
 
 def _tally(batches):
@@ -217,7 +221,7 @@ def _tally(batches):
     total = np.zeros(1 << COUNTERS, np.int64)
     for batch in batches:
         waiting, n = [], 0
-        for own in [*shingle_sets(binary(batch, "text")), None]:
+        for own in chain(shingle_sets(binary(batch, "text")), [None]):
             if own is not None:
                 waiting.append(own)
                 n += len(own)
@@ -374,7 +378,7 @@ def _verify(group):
     node = group.column("node").to_numpy()
     first = np.concatenate([[True], node[1:] != node[:-1]])
     node, odd, label = node[first], group.column("odd").to_numpy()[first], group.column("label").to_numpy()[first]
-    sets = shingle_sets([t for t, one in zip(group.column("text").cast(pa.large_binary()).to_pylist(), first.tolist()) if one])
+    sets = list(shingle_sets([t for t, one in zip(group.column("text").cast(pa.large_binary()).to_pylist(), first.tolist()) if one]))
     size = np.array([len(x) for x in sets])
     offset = np.concatenate([[0], np.cumsum(size)])
     _, which = np.unique(np.concatenate(sets), return_inverse=True)
