@@ -81,8 +81,11 @@ def trusted_of(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray | None:
-    """Weights from all documents against those whose doc_id is in ``trusted``. The semi-join is Catalyst's to plan."""
-    return weights(counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi")), counts(docs))
+    """Weights from all documents against those whose doc_id is in ``trusted``.
+
+    The semi-join is a shuffle at every size, as labels grow with the corpus; texts aren't sorted for it.
+    """
+    return weights(counts(docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")), counts(docs))
 
 
 def rules(raw: bytes) -> tuple[int, int, int, int, int]:
