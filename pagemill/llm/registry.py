@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton, bpe, chat, exact, language, lines, mixing, quality, rindex, simhash, syncmers
+from . import automaton, bpe, chat, exact, language, lines, merkle, mixing, quality, rindex, simhash, syncmers
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_fingerprints": syncmers.op9_fingerprints,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_quality_rules": quality.op13_quality_rules,
 }
 
@@ -23,5 +24,6 @@ ORACLE = {
     "op4_line_dedup": lines.OP4_SQL,
     "op5_exact_dedup": exact.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
     "op13_quality_rules": quality.OP13_SQL,
 }
