@@ -13,7 +13,7 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import parts, settle, table
 from .ranks import numbered
 
 FANOUT = 3
@@ -103,33 +103,34 @@ def _build(leaves: DataFrame, height: int) -> tuple[list[DataFrame], DataFrame]:
     return tables, tops
 
 
-def _jump(nodes: DataFrame, top: int) -> DataFrame:
-    """Segments joined until all nodes point to the root, node (TOP, top, 0)."""
+def _jump(nodes: DataFrame, top: int, height: int, most: list[int]) -> DataFrame:
+    """Segments joined until all nodes point to the root, node (TOP, top, 0).
+
+    ``height`` is the longest way from a leaf to the root, and ``most`` bounds the number of nodes on each level and above.
+    """
+    wide = parts(nodes.sparkSession)
     done = F.expr(f"up_tree = {TOP} AND up_level = {top} AND up_pos = 0")
-    finished, distance = [], 1
-    while True:
-        far = nodes.where(~done)
-        finished.append(nodes.where(done & F.col("leaf").isNotNull()))
+    finished, distance = [nodes.where(done & F.col("leaf").isNotNull())], 1
+    names = [f"{c}_" for c in ("up_tree", "up_level", "up_pos", "segment", "shape", "subroot")]
+    while distance < height:
         ancestors = nodes.where(f"tree = {TOP} OR level >= {distance}")
-        if far.isEmpty():
-            break
-        names = [f"{c}_" for c in ("up_tree", "up_level", "up_pos", "segment", "shape", "subroot")]
         right = ancestors.select(*(F.col(c).alias(f"up_{c}") for c in _ID), *(F.col(c[:-1]).alias(c) for c in names))
         # An ancestor at distance d has up to 3 ** d nodes below it: from distance 16 on this is a hot key, but ancestors are few then.
-        if ancestors.count() * (128 + 65 * distance) <= SENT:
+        if most[min(distance, len(most) - 1)] * (128 + 65 * distance) <= SENT:
             right = F.broadcast(right)
-        joined = far.join(right, [f"up_{c}" for c in _ID])
+        joined = nodes.where(~done).join(right, [f"up_{c}" for c in _ID])
         stepped = joined.select(
             *_ID, F.col("up_tree_").alias("up_tree"), F.col("up_level_").alias("up_level"), F.col("up_pos_").alias("up_pos"), F.concat("segment", "segment_").alias("segment"),
             F.concat("shape", "shape_").alias("shape"), F.coalesce("subroot", "subroot_").alias("subroot"), "doc_id", "leaf", "tampered",
         )
-        # What points to the root already stays an ancestor, but no leaf of that kind is needed again.
-        nodes = settle(stepped.unionByName(nodes.where(done & F.col("leaf").isNull())))
+        # Other nodes that point to the root already stay, as ancestors; a union has the tasks of both sides.
+        nodes = settle(stepped.unionByName(nodes.where(done & F.col("leaf").isNull())).coalesce(wide))
+        finished.append(nodes.where(done & F.col("leaf").isNotNull()))
         distance *= 2
     every = finished[0]
     for more in finished[1:]:
         every = every.unionByName(more)
-    return every
+    return every.coalesce(wide)
 
 
 def fold(leaf: bytes, segment: bytes, shape: bytes) -> str:
@@ -184,7 +185,10 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> tuple[DataFrame
         nodes = nodes.unionByName(made.select(*_ID, *up, "segment", "shape", none.alias("subroot"), "doc_id", "leaf", "tampered"))
     for made in above:
         nodes = nodes.unionByName(made.select(*_ID, *up, "segment", "shape", none.alias("subroot"), *carried[:1], none.alias("leaf"), *carried[1:]))
-    proofs = _jump(nodes, top).select("doc_id", "leaf", "tampered", "subroot", "segment", "shape")
+    height = _height(placed.largest)
+    most = [int(1.5 * placed.total / FANOUT**level) + 2 * ranked.total * (height + 2) for level in range(height + 1)]
+    wide = nodes.coalesce(parts(docs.sparkSession))
+    proofs = _jump(wide, top, height + 1 + top, most).select("doc_id", "leaf", "tampered", "subroot", "segment", "shape")
     return proofs, root and root.digest.hex()
 
 
