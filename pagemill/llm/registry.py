@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton, bpe, chat, exact, language, lines, merkle, mixing, quality, rindex, simhash, syncmers
+from . import automaton, bpe, chat, exact, language, lines, merkle, mixing, quality, repair, rindex, simhash, syncmers
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_fingerprints": syncmers.op9_fingerprints,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_structure_repair": repair.op12_structure_repair,
     "op13_quality_rules": quality.op13_quality_rules,
 }
 
@@ -25,5 +26,6 @@ ORACLE = {
     "op5_exact_dedup": exact.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_structure_repair": repair.OP12_SQL,
     "op13_quality_rules": quality.OP13_SQL,
 }
