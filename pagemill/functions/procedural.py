@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import json
 import re
-from html import escape
-from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
+from .html import Page, tidy
+from .structure import first_value, whole_value
+
 #: Where a response may keep its cells, and a picture its SVG, in order of preference.
 CELL_KEYS = ("cells", "layout", "layouts", "layout_info", "elements", "data", "result")
 SVG_KEYS = ("svg", "svg_code", "image_svg", "picture_svg", "text", "content", "html", "markdown")
 
-_SCAN = json.JSONDecoder()
 _FENCED = re.compile(r"```(?:json)?\s*\n(?P<body>.*?)(?:\n```|\Z)", re.S | re.I)
-_START = re.compile(r"[\[{]")
 _ELEMENT = re.compile(r'\{\s*"bbox"\s*:')
 _LONG = 65536
 
@@ -28,28 +27,14 @@ def unfenced(text: str) -> str:
     return "\n".join(rows[1:-1]) if closed else text
 
 
-def _whole(text: str):
-    try:
-        return True, json.loads(text)
-    except ValueError:
-        return False, None
-
-
 def first_json(text: str):
     """The whole text as JSON, or else the first value that begins with a bracket or a brace; None if there is none.
 
-    Texts are scanned in place, so a long text with many brackets isn't copied for each.
+    Values nested deeper than ``structure.DEPTH`` are no JSON. Linear in the text, however many brackets it has.
     """
     text = unfenced(text).strip()
-    done, value = _whole(text)
-    if done:
-        return value
-    for m in _START.finditer(text):
-        try:
-            return _SCAN.raw_decode(text, m.start())[0]
-        except ValueError:
-            pass
-    return None
+    done, value = whole_value(text)
+    return value if done else first_value(text)[1]
 
 
 def code_content(text: str) -> str:
@@ -73,7 +58,7 @@ def recovered_json(text: str):
     text = code_content(text)
     for candidate in (text, cut_incomplete(text) if text else None):
         if candidate:
-            done, value = _whole(candidate)
+            done, value = whole_value(candidate)
             if done:
                 return value
     return first_json(text) if text else None
@@ -81,21 +66,30 @@ def recovered_json(text: str):
 
 def cells_in(value) -> list[dict]:
     """The layout cells of a JSON value, at any depth below the known keys."""
-    if isinstance(value, list):
-        return [x for x in value if isinstance(x, dict)]
-    if not isinstance(value, dict):
-        return []
-    if value.keys() & {"category", "bbox", "text"}:
-        return [value]
-    return next((found for key in CELL_KEYS if isinstance(value.get(key), (list, dict)) and (found := cells_in(value[key]))), [])
+    waiting = [value]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, list):
+            if found := [x for x in value if isinstance(x, dict)]:
+                return found
+        elif isinstance(value, dict):
+            if value.keys() & {"category", "bbox", "text"}:
+                return [value]
+            waiting += reversed([value[key] for key in CELL_KEYS if isinstance(value.get(key), (list, dict))])
+    return []
 
 
 def svg_in(value) -> str | None:
     """The first SVG in a string, or anywhere in lists and objects, depth first."""
-    if isinstance(value, str):
-        return svg_fragment(value)
-    inside = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-    return next((found for x in inside if (found := svg_in(x))), None)
+    waiting = [value]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, str):
+            if found := svg_fragment(value):
+                return found
+        else:
+            waiting += reversed([*value.values()] if isinstance(value, dict) else value if isinstance(value, list) else [])
+    return None
 
 
 def svg_fragment(text: str) -> str | None:
@@ -144,144 +138,43 @@ def normal_cells(text: str | None, truncated: bool) -> str | None:
     return json.dumps(rows) if rows else None
 
 
-VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-SKIPPED = {"script", "style", "head", "template"}
-
-
-class _Tree(HTMLParser):
-    """Nodes are strings or [tag, attributes, children]; unclosed tags end with their parent."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.root = ["", {}, []]
-        self.open = [self.root]
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        node = [tag, {k: v or "" for k, v in attrs}, []]
-        self.open[-1][2].append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1][2].append([tag, {k: v or "" for k, v in attrs}, []])
-
-    def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
-        if at:
-            del self.open[at:]
-
-    def handle_data(self, data):
-        self.open[-1][2].append(data)
-
-
-def _raw(node) -> str:
-    if isinstance(node, str):
-        return escape(node, quote=False)
-    tag, attrs, inside = node
-    head = tag + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items() if k not in ("data-bbox", "data-label"))
-    return f"<{head}/>" if tag in VOID else f"<{head}>{''.join(map(_raw, inside))}</{tag}>"
-
-
-def _inline(text: str) -> str:
-    return re.sub(r"([*_])", r"\\\1", re.sub(r"\s+", " ", text))
-
-
-def _md(node, depth: int = 0, pre: bool = False) -> str:
-    """Blocks are set off by blank lines, which are collapsed at the end."""
-    if isinstance(node, str):
-        return node if pre else _inline(node)
-    tag, attrs, inside = node
-    if tag in SKIPPED:
-        return ""
-    if tag == "table":
-        return f"\n\n{_raw(node)}\n\n"
-    if tag == "pre":
-        return "\n\n```\n" + "".join(_md(x, depth, True) for x in inside).strip("\n") + "\n```\n\n"
-    if tag in ("ul", "ol"):
-        rows = [x for x in inside if not isinstance(x, str) and x[0] == "li"]
-        marks = [f"{int(attrs.get('start') or 1) + i}." if tag == "ol" and (attrs.get("start") or "1").isdigit() else "-" if tag == "ul" else f"{i + 1}." for i in range(len(rows))]
-        lines = []
-        for mark, x in zip(marks, rows):
-            body = re.sub(r"\n{2,}", "\n", "".join(_md(y, depth + 1, pre) for y in x[2]).strip())
-            lines.append(f"{mark} " + body.replace("\n", "\n" + " " * (len(mark) + 1)))
-        return ("\n" if depth else "\n\n") + "\n".join(lines) + ("\n" if depth else "\n\n")
-    text = "".join(_md(x, depth, pre) for x in inside)
-    bare = text.strip()
-    if tag == "math":
-        raw = "".join(x if isinstance(x, str) else _md(x, depth, True) for x in inside).strip()
-        return "" if not raw else f"\n\n$$\n{raw}\n$$\n\n" if attrs.get("display") == "block" else f" ${raw}$ "
-    if re.fullmatch("h[1-6]", tag):
-        return f"\n\n{'#' * int(tag[1])} {re.sub(chr(10) + '+', ' ', bare)}\n\n" if bare else ""
-    if tag in ("b", "strong", "i", "em", "del", "s", "code"):
-        mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~", "code": "`"}[tag]
-        return (" " * text[:1].isspace() + mark + bare + mark + " " * text[-1:].isspace()) if bare else text
-    if tag == "a":
-        return f"[{bare}]({attrs['href']})" if bare and attrs.get("href") else text
-    if tag == "img":
-        return f"![{attrs.get('alt', '')}]({attrs.get('src', '')})"
-    if tag == "br":
-        return "  \n"
-    if tag == "hr":
-        return "\n\n---\n\n"
-    if tag == "blockquote":
-        return "\n\n" + "\n".join(f"> {x}".rstrip() for x in re.sub(r"\n{3,}", "\n\n", bare).split("\n")) + "\n\n" if bare else ""
-    if tag in ("p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "figure", "figcaption", "body", "html", "form", "dl", "dt", "dd"):
-        return f"\n\n{bare}\n\n" if bare else ""
-    return text
-
-
-def markdown_of(node) -> str:
-    text = re.sub(r"[ \t]+\n(?!\n)", lambda m: m[0] if m[0].startswith("  ") else "\n", _md(node))
-    return re.sub(r"\n[ \t]*(?:\n[ \t]*)+", "\n\n", re.sub(r"(?m)^[ \t]+(?=\S)(?![-\d>])", "", text)).strip()
-
-
-def _images(node, keep: bool) -> None:
-    """Images without a source: kept with an empty one, or taken out."""
-    for x in list(node[2]):
-        if isinstance(x, str):
-            continue
-        if x[0] == "img" and not x[1].get("src"):
-            if keep:
-                x[1]["src"] = ""
-            else:
-                node[2].remove(x)
-        _images(x, keep)
-
-
 def html_page(html: str | None, headers: bool = False, images: bool = True) -> tuple[str, bool, bool]:
-    """Markdown, is_table and is_diagram of a page in labelled blocks; any page without blocks is taken as a whole."""
+    """Markdown, is_table and is_diagram of a page in labelled blocks; any page without blocks is taken as a whole.
+
+    Images without a source are kept, with an empty one, in blocks of images only. Where Markdown can't be made of a page, its
+    content stays as HTML.
+    """
     html = unfenced(html or "").strip()
     if not html:
         return "", False, False
-    root = _Tree(html).root
-    blocks = [x for x in root[2] if not isinstance(x, str) and x[0] == "div"]
-    labels = [b[1].get("data-label", "").strip() for b in blocks]
+    page = Page(html)
+    blocks = page.outermost("div")
+    labels = [page.what[b].get("data-label", "").strip() for b in blocks]
     content = [x for x in labels if x and x not in ("Page-Header", "Page-Footer", "Blank-Page")]
     least = max(1, len(content) // 2)
     is_table, is_diagram = content.count("Table") >= least, sum(x in ("Image", "Figure", "Diagram") for x in content) >= least
     if not blocks:
-        return markdown_of(root) or html, is_table, is_diagram
+        return _said(page, [(0, len(page.tag), frozenset())], html), is_table, is_diagram
     kept = []
     for block, label in zip(blocks, labels):
         if label == "Blank-Page" or label in ("Page-Header", "Page-Footer") and not headers or label in ("Image", "Figure") and not images:
             continue
-        _images(block, label in ("Image", "Figure"))
-        _plain(block)
-        if inner := "".join(map(_raw, block[2])).strip():
-            kept.append((inner, markdown_of(block)))
-    # Blocks that say nothing leave an empty page; elements without any text stay as they are.
-    return "\n\n".join(said for _, said in kept if said) or "\n\n".join(inner for inner, _ in kept), is_table, is_diagram
-
-
-def _plain(node) -> None:
-    """Without the attributes of the layout."""
-    for name in ("data-bbox", "data-label"):
-        node[1].pop(name, None)
-    for x in node[2]:
-        if not isinstance(x, str):
-            _plain(x)
+        start, end = page.inside(block)
+        bare = [i for i in range(start, end) if page.tag[i] == "img" and not page.what[i].get("src")]
+        dropped = frozenset() if label in ("Image", "Figure") else frozenset(bare)
+        for i in bare:
+            page.what[i].setdefault("src", "")
+        kept.append((start, end, dropped))
+    inner = "\n\n".join(x for k in kept if (x := page.raw(*k).strip()))
+    return _said(page, kept, inner), is_table, is_diagram
+
+
+def _said(page: Page, intervals: list[tuple], instead: str) -> str:
+    """Intervals as Markdown between blank lines; what stands for them if none says anything, or if that can't be told."""
+    try:
+        return "\n\n".join(x for i in intervals if (x := tidy(page.markdown(*i)))) or instead
+    except Exception:  # noqa: BLE001 - whatever goes wrong, the page's content isn't lost
+        return instead
 
 
 @F.pandas_udf(StringType())

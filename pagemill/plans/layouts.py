@@ -111,6 +111,28 @@ def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", P.convert_html("html").alias("p")).select("page_id", "p.*")
 
 
+#: Events in order, each with what it writes: char 1 breaks a paragraph, char 2 takes away white space before it, char 3 after it, char 4 is a hard break.
+#: The bold elements of these pages are never closed, so they end with their article, the interval around them.
+HTML = r"""WITH body AS (SELECT page_id, regexp_replace(substr(html, strpos(html, '</head>') + 7), '(?s)<!--.*?-->', '', 'g') AS html FROM pages),
+events AS (SELECT page_id, unnest(e) AS e, unnest(range(len(e))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>|[^<]+') AS e FROM body)),
+named AS (SELECT page_id, i, e, regexp_extract(e, '^</?([a-z0-9]+)', 1) AS tag, e[1] = '<' AS is_tag, e[1:2] = '</' AS ends, lag(e, 2) OVER (PARTITION BY page_id ORDER BY i) AS opened FROM events),
+text AS (SELECT *, regexp_replace(replace(replace(replace(replace(replace(CASE WHEN tag = 'a' AND ends THEN regexp_extract(opened, 'href="([^"]*)"', 1) ELSE e END, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS said FROM named),
+bold AS (SELECT page_id, i, count(*) FILTER (tag = 'b' AND NOT ends) OVER (PARTITION BY page_id ORDER BY i) - coalesce(sum(CASE WHEN tag = 'b' AND ends THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i), 0) AS open FROM named),
+written AS (
+  SELECT page_id, i, CASE
+    WHEN NOT is_tag THEN regexp_replace(regexp_replace(said, '[ \t\r\n\f\x0b]+', ' ', 'g'), '([*_])', '\\\1', 'g')
+    WHEN tag = 'br' THEN chr(4)
+    WHEN tag = 'h1' AND NOT ends THEN chr(1) || '# ' || chr(3)
+    WHEN tag = 'li' THEN CASE WHEN ends THEN chr(2) ELSE chr(10) || '- ' || chr(3) END
+    WHEN tag = 'a' THEN CASE WHEN ends THEN '](' || said || ')' ELSE '[' END
+    WHEN tag = 'b' THEN CASE WHEN ends THEN chr(2) || '**' ELSE '**' || chr(3) END
+    WHEN tag = 'article' AND ends THEN chr(2) || repeat('**', open::INTEGER) || chr(1)
+    WHEN ends THEN chr(2) || chr(1) ELSE chr(1) || chr(3) END AS w
+  FROM text JOIN bold USING (page_id, i)),
+whole AS (SELECT page_id, regexp_replace(regexp_replace(string_agg(w, '' ORDER BY i), '[ \n\x01\x03\x04]*\x02', '', 'g'), '\x03[ \n\x01\x03\x04]*', '', 'g') AS w FROM written GROUP BY page_id)
+SELECT page_id, regexp_replace(regexp_replace(replace(replace(w, chr(4), '  ' || chr(10)), chr(1), chr(10) || chr(10)), '\n[ \t]*(?:\n[ \t]*)+', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g') AS markdown, false AS is_table, false AS is_diagram FROM whole"""
+
+
 QUERIES = {
     "layout_cells_markdown": (layout_cells_markdown, MARKDOWN),
     "layout_cells_filtered": (layout_cells_filtered, FILTERED),
@@ -120,5 +142,5 @@ QUERIES = {
     "parse_all_parsers": (parse_all, None),
     "recover_json": (recover_json, RECOVER),
     "close_svg": (close_svg, SVG),
-    "html_to_markdown": (html_to_markdown, None),
+    "html_to_markdown": (html_to_markdown, HTML),
 }
