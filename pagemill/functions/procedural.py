@@ -6,7 +6,7 @@ import json
 import re
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .html import Page, tidy
 from .structure import first_value, whole_value
@@ -213,11 +213,3 @@ def bounded_blocks(width: int, height: int, factor: int, least: int | None, most
         narrower = w > 1 and (h == 1 or abs((w - 1) / h - aspect) < abs(w / (h - 1) - aspect))
         w, h = (w - 1, h) if narrower else (w, h - 1)
     return w * factor, h * factor
-
-
-@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
-def block_size(width, height, factor, least, most):
-    import pandas as pd
-
-    rows = [bounded_blocks(int(w), int(h), int(f), None if pd.isna(a) else int(a), None if pd.isna(b) else int(b)) for w, h, f, a, b in zip(width, height, factor, least, most)]
-    return pd.DataFrame(rows, columns=["width", "height"])

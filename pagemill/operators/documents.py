@@ -11,14 +11,34 @@ from ..functions import text as T
 NAMESPACE = "pagemill"
 
 
-def assemble(pages: DataFrame, *, markers: bool = False, namespace: str = NAMESPACE) -> DataFrame:
-    """doc_id and markdown: the non-blank pages in order, between blank lines, with one line feed at the end (or empty)."""
+def _body(markers: bool, namespace: str) -> tuple[Column, Column]:
+    """The aggregate that holds a document's pages, and its text from column ``listed``."""
     md = F.coalesce("markdown", F.lit(""))
     if markers:
         md = T.rstrip(F.concat(T.page_marker(F.col("page_index"), namespace), F.lit("\n\n"), md))
-    ordered = F.array_sort(F.collect_list(F.when(T.strip(md) != "", F.struct("page_index", md.alias("md")))))
-    body = pages.groupBy("doc_id").agg(ordered.alias("pages")).select("doc_id", T.strip(F.array_join(F.transform("pages", lambda p: p["md"]), "\n\n")).alias("body"))
-    return body.select("doc_id", F.when(F.col("body") == "", "").otherwise(F.concat("body", F.lit("\n"))).alias("markdown"))
+    listed = F.array_sort(F.collect_list(F.when(T.strip(md) != "", F.struct("page_index", md.alias("md"))))).alias("listed")
+    body = T.strip(F.array_join(F.transform("listed", lambda p: p["md"]), "\n\n"))
+    return listed, F.when(body == "", "").otherwise(F.concat(body, F.lit("\n")))
+
+
+def assemble(pages: DataFrame, *, markers: bool = False, namespace: str = NAMESPACE) -> DataFrame:
+    """doc_id and markdown: the non-blank pages in order, between blank lines, with one line feed at the end (or empty)."""
+    listed, text = _body(markers, namespace)
+    return pages.groupBy("doc_id").agg(listed).select("doc_id", text.alias("markdown"))
+
+
+def assemble_with_stats(pages: DataFrame, *, markers: bool = False, namespace: str = NAMESPACE) -> DataFrame:
+    """``assemble`` and ``stats`` side by side, from one pass over the pages and one shuffle."""
+    listed, text = _body(markers, namespace)
+    made = pages.groupBy("doc_id").agg(listed, *_counts()).withColumn("markdown", text)
+    return made.select("doc_id", "markdown", "pages", "failed_pages", "prompt_tokens", "completion_tokens", "extracted_images", F.length("markdown").cast("long").alias("chars"))
+
+
+def _counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("error").isNotNull()).alias("failed_pages"),
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("n_images").alias("extracted_images"),
+    ]
 
 
 def assemble_compact(pages: DataFrame) -> DataFrame:
@@ -30,10 +50,7 @@ def assemble_compact(pages: DataFrame) -> DataFrame:
 
 def stats(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Counts by document: pages, failed pages, characters of the final text, tokens and images."""
-    counted = pages.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("error").isNotNull()).alias("failed_pages"),
-        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("n_images").alias("extracted_images"),
-    )
+    counted = pages.groupBy("doc_id").agg(*_counts())
     return counted.join(documents.select("doc_id", F.length("markdown").cast("long").alias("chars")), "doc_id")
 
 
@@ -61,18 +78,18 @@ def with_rotation(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("rotation", F.pmod(F.coalesce(turned, F.lit(0)), F.lit(360)).cast("int"))
 
 
-def reduce_attempts(attempts: DataFrame, max_attempts: int = 8) -> DataFrame:
+def reduce_attempts(attempts: DataFrame, max_attempts: int = 8, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row for each page from its attempt log (outcome: valid, invalid, error or fatal).
 
     The first valid attempt wins; else the last one of wrong rotation, with its own number; else the page failed: attempts
     then counts all tries, error is the last one's, and tokens are those of a fatal response. Nothing counts after a valid
-    or fatal attempt, or beyond ``max_attempts``.
+    or fatal attempt, or beyond ``max_attempts``. Columns that are ``carried`` come from the attempt that was kept (failed: null).
     """
     page = Window.partitionBy("doc_id", "page_index")
     ends = F.when(F.col("outcome").isin("valid", "fatal"), F.col("attempt")).otherwise(max_attempts)
     rotated = with_rotation(attempts)
     seen = rotated.withColumn("stop", F.min(ends).over(page)).where(F.col("attempt") <= F.col("stop"))
-    fields = F.struct("attempt", "outcome", "rotation", "error", "prompt_tokens", "completion_tokens")
+    fields = F.struct("attempt", "outcome", "rotation", "error", "prompt_tokens", "completion_tokens", *carried)
     best = lambda outcome: F.max_by(F.when(F.col("outcome") == outcome, fields), F.when(F.col("outcome") == outcome, F.col("attempt")))
     r = seen.groupBy("doc_id", "page_index").agg(best("valid").alias("v"), best("invalid").alias("i"), best("fatal").alias("f"), F.max_by("error", "attempt").alias("last"), F.max("attempt").alias("tries"))
     kept = F.coalesce("v", "i")
@@ -81,6 +98,7 @@ def reduce_attempts(attempts: DataFrame, max_attempts: int = 8) -> DataFrame:
         F.when(F.col("v").isNotNull(), "valid").when(F.col("i").isNotNull(), "retained").otherwise("failed").alias("status"),
         F.coalesce(kept["attempt"], "tries").alias("attempts"), F.coalesce(kept["rotation"], F.lit(0)).alias("applied_rotation"),
         F.when(kept.isNull(), F.col("last")).alias("error"),
-        F.coalesce(kept["prompt_tokens"], F.col("f.prompt_tokens"), F.lit(0)).cast("long").alias("prompt_tokens"),
-        F.coalesce(kept["completion_tokens"], F.col("f.completion_tokens"), F.lit(0)).cast("long").alias("completion_tokens"),
+        F.coalesce(F.when(kept.isNull(), F.col("f.prompt_tokens")).otherwise(kept["prompt_tokens"]), F.lit(0)).cast("long").alias("prompt_tokens"),
+        F.coalesce(F.when(kept.isNull(), F.col("f.completion_tokens")).otherwise(kept["completion_tokens"]), F.lit(0)).cast("long").alias("completion_tokens"),
+        *(kept[c].alias(c) for c in carried),
     )

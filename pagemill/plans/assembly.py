@@ -79,6 +79,21 @@ FAILED_MD = f"""WITH {PAGES} SELECT doc_id, page_index, '<!-- {D.NAMESPACE}: pag
   || CASE WHEN doc_id % 4 = 0 THEN 'HTTPError: timeout- -of the page' ELSE 'unknown error' END || ' -->' AS markdown FROM p WHERE error IS NOT NULL"""
 
 
+def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as one Markdown file each, and read back."""
+    from ..sources import files
+    from ..sources.places import shared_folder
+
+    folder = shared_folder(spark, "markdown")
+    documents = D.assemble(pages(spark, sf)).select(F.concat(F.lit("md/"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("output"), "markdown")
+    files.write_files(documents, folder)
+    return files.read_files(spark, folder).select("output", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+FILES = f"""WITH {BODY}, d AS (SELECT 'md/' || (doc_id % 7) || '/' || doc_id || '.md' AS output, CASE WHEN body = '' THEN '' ELSE body || chr(10) END AS markdown FROM b)
+SELECT output, CAST(octet_length(encode(markdown)) AS BIGINT) AS bytes, sha256(markdown) AS sha256 FROM d"""
+
+
 def attach_page_images(spark: SparkSession, sf: str) -> DataFrame:
     """Images with their numbers in the page, for turns that have some."""
     p = pages(spark, sf)
@@ -92,17 +107,36 @@ ATTACH = f"""WITH {PAGES} SELECT doc_id, page_index, CAST(n_images AS BIGINT) AS
   coalesce(list_aggregate(list_transform(range(1, n_images + 1), lambda i: 'page-' || (page_index + 1) || '-image-' || i || '.png'), 'string_agg', '|'), '') AS images FROM p"""
 
 
+LOG = ("outcome", "correction", "error", "prompt_tokens", "completion_tokens")
+
+
+def _outcomes(events: DataFrame) -> DataFrame:
+    """Events as outcomes of attempts."""
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'invalid' WHEN 'signup' THEN 'valid' WHEN 'purchase' THEN 'fatal' ELSE IF(event_id % 3 = 0, 'invalid', 'error') END")
+    return events.withColumns({
+        "outcome": kind, "correction": ((F.col("event_id") % 4) * 90).cast("int"), "error": F.when(kind.isin("error", "fatal"), F.concat(F.lit("e"), F.col("event_id").cast("string"))),
+        "prompt_tokens": F.col("event_id") % 100, "completion_tokens": F.col("event_id") % 11,
+    })
+
+
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Events of a user, in their order, are the attempts at one page."""
     from pyspark.sql.window import Window
 
-    e = spark.read.parquet(f"{sf}/events.parquet")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    kind = F.expr("CASE event_type WHEN 'view' THEN 'invalid' WHEN 'signup' THEN 'valid' WHEN 'purchase' THEN 'fatal' ELSE IF(event_id % 3 = 0, 'invalid', 'error') END")
-    return e.withColumn("attempt", F.row_number().over(order)).select(
-        F.col("user_id").alias("doc_id"), F.lit(0).alias("page_index"), "attempt", kind.alias("outcome"), ((F.col("event_id") % 4) * 90).cast("int").alias("correction"),
-        F.when(kind.isin("error", "fatal"), F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"), (F.col("event_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 11).alias("completion_tokens"),
-    )
+    rows = _outcomes(spark.read.parquet(f"{sf}/events.parquet")).withColumn("attempt", F.row_number().over(order))
+    return rows.select(F.col("user_id").alias("doc_id"), F.lit(0).alias("page_index"), "attempt", *LOG)
+
+
+def reduce_attempts_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``reduce_attempts``, from the events as a stream whose state is kept for each page."""
+    from ..sources.places import shared_folder
+    from ..streaming import attempts as S
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern may be one file
+    rows = _outcomes(arriving).select(F.col("user_id").alias("doc_id"), F.lit(0).alias("page_index"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), *LOG)
+    return S.latest(S.drain(rows, shared_folder(spark, "attempts")))
 
 
 ATTEMPTS = """a AS (SELECT doc_id, 0 AS page_index, attempt, outcome, correction, CASE WHEN outcome IN ('error', 'fatal') THEN 'e' || event_id END AS error, event_id % 100 AS prompt_tokens, event_id % 11 AS completion_tokens FROM (
@@ -137,7 +171,9 @@ QUERIES = {
     "document_stats": (document_stats, STATS),
     "failed_page_list": (failed_page_list, FAILED),
     "failed_page_markdown": (failed_page_markdown, FAILED_MD),
+    "markdown_files": (markdown_files, FILES),
     "attach_page_images": (attach_page_images, ATTACH),
     "cumulative_rotation": (cumulative_rotation, ROTATION),
     "reduce_attempts": (reduce_attempts, REDUCE),
+    "reduce_attempts_stream": (reduce_attempts_stream, REDUCE),
 }

@@ -23,9 +23,7 @@ def page_results(responses: DataFrame, config: Conversion = Conversion()) -> Dat
     said = answered.select("doc_id", "page_index", "attempt", "markdown", "metadata", "prompt_tokens", "completion_tokens", F.when(F.col("metadata.is_rotation_valid"), "valid").otherwise("invalid").alias("outcome"), F.col("metadata.rotation_correction").alias("correction"), F.lit(None).cast("string").alias("error"))
     failed = responses.where("error IS NOT NULL").select("doc_id", "page_index", "attempt", "prompt_tokens", "completion_tokens", F.when(F.coalesce("fatal", F.lit(False)), "fatal").otherwise("error").alias("outcome"), F.lit(0).alias("correction"), "error")
     log = said.unionByName(failed, allowMissingColumns=True)
-    reduced = D.reduce_attempts(log, config.max_page_attempts)
-    texts = said.select("doc_id", "page_index", F.col("attempt").alias("attempts"), "markdown", "metadata")
-    pages = reduced.join(texts, ["doc_id", "page_index", "attempts"], "left")
+    pages = D.reduce_attempts(log, config.max_page_attempts, carried=("markdown", "metadata"))
     lost = _lost_page(config)
     return pages.withColumn("markdown", F.when(F.col("status") == "failed", lost).otherwise(F.col("markdown"))).withColumn("metadata", F.coalesce("metadata", T.metadata(F.lit(None).cast("string"))))
 
@@ -35,8 +33,8 @@ def _lost_page(config: Conversion):
     return comment if config.allow_page_failures else F.raise_error(F.concat(F.lit("page failed: "), F.col("page_index").cast("string"), F.lit(" "), F.coalesce("error", F.lit("")))).cast("string")
 
 
-def convert(responses: DataFrame, images: DataFrame | None = None, config: Conversion = Conversion()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Documents (doc_id, markdown) and their statistics."""
+def convert_all(responses: DataFrame, images: DataFrame | None = None, config: Conversion = Conversion()) -> DataFrame:  # noqa: B008
+    """Documents (doc_id, markdown) with their statistics, from one pass over the responses."""
     pages = page_results(responses, config)
     if images is not None:
         placed = D.attach_images(pages, images)
@@ -45,8 +43,13 @@ def convert(responses: DataFrame, images: DataFrame | None = None, config: Conve
         pages = pages.withColumn("n_images", F.size("images").cast("long"))
     else:
         pages = pages.withColumn("n_images", F.lit(0).cast("long"))
-    documents = D.assemble(pages, markers=config.include_page_numbers, namespace=config.namespace)
-    return documents, D.stats(pages, documents)
+    return D.assemble_with_stats(pages, markers=config.include_page_numbers, namespace=config.namespace)
+
+
+def convert(responses: DataFrame, images: DataFrame | None = None, config: Conversion = Conversion()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Documents (doc_id, markdown) and their statistics. Where both are wanted, ``convert_all`` does the work once."""
+    made = convert_all(responses, images, config)
+    return made.select("doc_id", "markdown"), made.drop("markdown")
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,8 +62,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 def convert_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way, with the statistics beside the text."""
-    documents, stats = convert(_log(spark, sf))
-    return documents.join(stats, "doc_id")
+    return convert_all(_log(spark, sf))
 
 
 SQL = r"""WITH p AS (SELECT conv_id AS doc_id, turn, role = 'system' AS lost, length(text) AS tokens,

@@ -11,10 +11,14 @@ from ..operators import pages as G
 from .sql import rstrip, strip
 
 
-def _packed(spark: SparkSession, sf: str, names: str) -> DataFrame:
-    """The lines of each document as cells in JSON; every sixth has no category."""
+def _packed(spark: SparkSession, sf: str, **names: str) -> DataFrame:
+    """The lines of each document as cells in JSON, with categories from each list of names; every sixth has none."""
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *(F.expr(_cells(x)).alias(c) for c, x in names.items()))
+
+
+def _cells(names: str) -> str:
     cell = f"""struct(element_at(array({names}), int(i % 6) + 1) AS category, IF(i % 6 = 2, array(double(i), i * 2.0D, i * 3 + 0.5D, 1.0D), NULL) AS bbox, CASE WHEN i % 6 = 1 THEN concat('\\\\alpha_', i) WHEN i % 12 = 2 THEN '' ELSE line END AS text)"""
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.expr(f"to_json(transform(split(text, '\\n'), (line, i) -> {cell}))").alias("raw"))
+    return f"to_json(transform(split(text, '\\n'), (line, i) -> {cell}))"
 
 
 PLAIN, LOWER = "'Text', 'Formula', 'Picture', 'Page-header', 'Table', NULL", "'text', 'formula', 'figure', 'header', 'table', NULL"
@@ -23,7 +27,7 @@ CELLS = "c AS (SELECT doc_id, i, lines[i + 1] AS line FROM (SELECT doc_id, lines
 
 
 def layout_cells_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf, PLAIN).select("doc_id", L.markdown(L.cells(F.col("raw"))).alias("markdown"))
+    return _packed(spark, sf, raw=PLAIN).select("doc_id", L.markdown(L.cells(F.col("raw"))).alias("markdown"))
 
 
 MARKDOWN = f"""WITH {CELLS}, m AS (SELECT doc_id, i, CASE i % 6 WHEN 1 THEN '$$' || chr(10) || '\\alpha_' || i || chr(10) || '$$' WHEN 2 THEN '![Picture](page_' || i || '_' || 2 * i || '_' || 2 * i || '_' || greatest(1 - 2 * i, 0) || '.png)' ELSE {strip('line')} END AS t FROM c)
@@ -31,7 +35,7 @@ SELECT doc_id, {strip("coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FIL
 
 
 def layout_cells_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf, LOWER).select("doc_id", L.filtered_markdown(L.cells(F.col("raw"))).alias("markdown"))
+    return _packed(spark, sf, raw=LOWER).select("doc_id", L.filtered_markdown(L.cells(F.col("raw"))).alias("markdown"))
 
 
 FILTERED = f"""WITH {CELLS}, m AS (SELECT doc_id, i, CASE WHEN i % 6 = 1 THEN '$$' || chr(10) || '\\alpha_' || i || chr(10) || '$$' WHEN i % 6 = 3 OR i % 12 = 2 THEN '' ELSE {strip('line')} END AS t FROM c)
@@ -40,7 +44,7 @@ SELECT doc_id, {strip("coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FIL
 
 def layout_metadata(spark: SparkSession, sf: str) -> DataFrame:
     plain, lower = (L.metadata(L.cells(F.col(c)), family) for c, family in (("raw", "plain"), ("low", "lower")))
-    rows = _packed(spark, sf, PLAIN).join(_packed(spark, sf, LOWER).withColumnRenamed("raw", "low"), "doc_id")
+    rows = _packed(spark, sf, raw=PLAIN, low=LOWER)
     return rows.select("doc_id", plain.alias("p"), lower.alias("l")).select("doc_id", "p.is_table", "p.is_diagram", F.col("l.is_table").alias("lower_table"), F.col("l.is_diagram").alias("lower_diagram"))
 
 

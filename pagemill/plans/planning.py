@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions import procedural as P
 from ..functions import text as T
-from ..operators import chat, images
+from ..operators import chat, images, sizes
 from ..operators import planning as Pl
 from ..sources import profiles
 
@@ -79,6 +78,18 @@ def skip_existing(spark: SparkSession, sf: str) -> DataFrame:
     return Pl.plan(_files(spark, sf), done)
 
 
+def skip_existing_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``skip_existing``, with the history in a bucketed table of its own."""
+    import uuid
+
+    from ..sources import history
+
+    table = f"history_{uuid.uuid4().hex}"
+    done = _t(spark, sf, "pages").where("page_id % 61 % 3 = 0").select(F.expr("concat('md/F', page_id % 61, '.md')").alias("output")).distinct()
+    history.save(done, table)
+    return history.plan(_files(spark, sf), table)
+
+
 SKIP = f"WITH {FILES} SELECT path, output FROM n WHERE output NOT IN (SELECT 'md/F' || (page_id % 61) || '.md' FROM pages WHERE page_id % 61 % 3 = 0)"
 
 
@@ -146,9 +157,8 @@ SELECT p_partkey, profile,
 
 
 def block_resize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sizes(spark, sf).where("strategy = 'blocks'")
-    size = P.block_size(F.col("w").cast("long"), F.col("h").cast("long"), "resize_factor", "min_pixels", "max_pixels")
-    return rows.select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+    rows = _sizes(spark, sf).where("strategy = 'blocks'").select("p_partkey", "w", "h", F.col("resize_factor").alias("factor"), F.col("min_pixels").alias("least"), F.col("max_pixels").alias("most"))
+    return sizes.block_sizes(rows).select("p_partkey", "width", "height")
 
 
 BLOCKS = """WITH RECURSIVE s AS (SELECT p_partkey, CAST(p_size * 40 + p_partkey % 97 AS DOUBLE) AS w, CAST(p_partkey % 1500 + 5 AS DOUBLE) AS h FROM part),
@@ -199,10 +209,14 @@ SELECT conv_id, turn, CASE k WHEN 0 THEN 'choices missing' WHEN 1 THEN 'message
 
 
 def hub_model_filter(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.hub import filter_models
+    """Through saved pages of the listing, of which only those that can hold such models are read."""
+    from ..sources import hub
+    from ..sources.places import shared_folder
 
     rows = _t(spark, sf, "part").select(F.col("p_name").alias("id"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("p_partkey") % 60).cast("string"), 2, "0")).alias("createdAt"), F.when(F.col("p_size") > 5, F.col("p_size") * 100).cast("long").alias("downloads"), (F.col("p_partkey") % 100).alias("likes"))
-    return filter_models(rows, 1000, 50)
+    folder = shared_folder(spark, "listing")
+    hub.save_pages(rows, folder)
+    return hub.filter_models(hub.read_pages(spark, folder), 1000, 50)
 
 
 HUB = "SELECT p_name AS model_id, '2024-01-01T00:00:' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') AS created_at, CAST(p_size * 100 AS BIGINT) AS downloads, p_partkey % 100 AS likes, 'https://huggingface.co/' || p_name AS url FROM part WHERE p_size >= 10 AND p_partkey % 100 >= 50"
@@ -249,6 +263,7 @@ QUERIES = {
     "output_collisions": (output_collisions, COLLISIONS),
     "collision_report": (collision_report, REPORT),
     "skip_existing": (skip_existing, SKIP),
+    "skip_existing_bucketed": (skip_existing_bucketed, SKIP),
     "page_names": (page_names, NAMES),
     "resolve_profile": (resolve_profile, PROFILE),
     "accepted_finish": (accepted_finish, FINISH),
