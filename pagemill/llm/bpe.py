@@ -15,6 +15,7 @@ import hashlib
 import heapq
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -22,6 +23,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Pieces that a worker remembers, and code points of texts that it cuts at a time.
 MEMORY, BLOCK_CHARS = 1_000_000, 2_000_000
+#: Pieces are encoded together as long as their squared lengths in bytes add up to this, as the rounds of one piece make half as many rows.
+SQUARES = 4_000_000
 #: Ids that are decoded at a time; longer texts are decoded in parts.
 MANY = 1_000_000
 
@@ -98,8 +101,14 @@ class Codec:
                 self.known[p] = (len(ids), " ".join(map(str, ids)).encode())
             else:
                 short.append((p, b))
-        for at in range(0, len(short), 50_000):
-            some = short[at : at + 50_000]
+        short.sort(key=lambda x: len(x[1]))  # a query has as many rounds as its longest piece
+        at = 0
+        while at < len(short):
+            stop, squares = at, 0
+            while stop < len(short) and (stop == at or squares + len(short[stop][1]) ** 2 <= SQUARES):
+                squares += len(short[stop][1]) ** 2
+                stop += 1
+            some, at = short[at:stop], stop
             self.db.register("start", self._rows([[one[x] for x in b] for _, b in some]))
             got = self.db.execute(ENCODE).fetchnumpy()
             self.db.unregister("start")
@@ -214,12 +223,20 @@ def _shared(spark: SparkSession, path: str | None, pattern: str | None):
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the decoded bytes are the text's) of every whole text, and the columns to keep.
 
+    Columns to keep can't have the names of these four.
+
     Null and empty texts have no ids. Strings of special tokens are ordinary text. Rows are independent of each other, so
     repeated rows stay as they are; columns that aren't to be kept are ignored. An empty table gives an empty table.
     """
+    if clash := {"doc_id", "n_tokens", "ids", "round_trip"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are the operator's own")
     vocabulary, pattern = _shared(docs.sparkSession, path, pattern)
-    kept = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in keep)
-    return docs.select("doc_id", "text", *keep).mapInArrow(_run(vocabulary, pattern, True, keep), f"doc_id long, n_tokens long, ids array<int>, round_trip boolean{kept}")
+    # Columns travel under plain names, as Spark's mapInArrow can't take a name with a dot.
+    plain = tuple(f"kept{i}" for i in range(len(keep)))
+    given = docs.select("doc_id", "text", *(F.col(f"`{name}`").alias(p) for name, p in zip(keep, plain)))
+    kinds = "".join(f", {p} {given.schema[p].dataType.simpleString()}" for p in plain)
+    made = given.mapInArrow(_run(vocabulary, pattern, True, plain), f"doc_id long, n_tokens long, ids array<int>, round_trip boolean{kinds}")
+    return made.select("doc_id", "n_tokens", "ids", "round_trip", *(F.col(p).alias(name) for name, p in zip(keep, plain)))
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -83,3 +83,28 @@ def test_a_task_leaves_no_codec_behind():
     assert not made.known
     with pytest.raises(Exception, match="closed"):
         made.db.execute("SELECT 1")
+
+
+def _scripts():
+    import random
+
+    rng = random.Random(11)
+    run = lambda a, b, n: "".join(chr(rng.randrange(a, b)) for _ in range(n))
+    chinese = ["，".join(run(0x4E00, 0x9FA5, rng.randrange(10, 41)) for _ in range(1000)) for _ in range(4)]
+    thai = ["".join(run(0x0E01, 0x0E2E, 1) + run(0x0E30, 0x0E39, 1) for _ in range(4000))]
+    words = [" ".join(run(97, 123, 250) for _ in range(1600))]
+    return chinese + thai + words + [run(65, 91, 255) + " " + "ACGT" * 60, "ACGT" * 20_000]
+
+
+def test_long_runs_of_letters(codec):
+    """Texts whose pieces are long: any number of them is encoded in bounded memory."""
+    for t, (n, ids, raw) in zip(_scripts(), codec.encode(_scripts())):
+        true = TRUE.encode_ordinary(t)
+        assert n == len(true) and ids.decode() == " ".join(map(str, true)) and raw.decode() == t
+
+
+def test_clashing_names_to_keep(spark):
+    df = spark.createDataFrame([(1, "a b", 2, "x")], "doc_id long, text string, `k.1` int, ids string")
+    assert bpe.encode(df, keep=("k.1",)).first()["k.1"] == 2
+    with pytest.raises(ValueError, match="own"):
+        bpe.encode(df, keep=("ids",))
