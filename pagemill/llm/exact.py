@@ -69,8 +69,13 @@ def ingest(snapshot: Snapshot, batch_docs: DataFrame, batch_digests: DataFrame |
     no row of the group has one, and then keep_id is null. Either side may be empty. Other columns are ignored.
     """
     new = digests(batch_docs) if batch_digests is None else batch_digests
-    fresh = _grouped(new).select(_shard(snapshot.shards), "sha", "first", "n")
-    screened = settle(fresh.groupBy("shard").cogroup(snapshot.filters.groupBy("shard")).applyInArrow(_screen, "sha string, first long, n long, maybe boolean"))
+    fresh = settle(_grouped(new))
+    # A batch may be far larger than the snapshot: its digests are dealt over copies of each filter, so that no group grows with it.
+    copies = max(1, -(-fresh.count() // (snapshot.shards * SHARD_KEYS)))
+    copy = (F.conv(F.substring("sha", 25, 8), 16, 10).cast("long") % copies).cast("int").alias("copy")
+    filters = snapshot.filters.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    dealt = fresh.select(_shard(snapshot.shards), copy, "sha", "first", "n")
+    screened = settle(dealt.groupBy("shard", "copy").cogroup(filters.groupBy("shard", "copy")).applyInArrow(_screen, "sha string, first long, n long, maybe boolean"))
     bucket = screened.where("maybe").join(snapshot.known.select("sha", F.col("first").alias("old_first"), F.col("n").alias("old_n")), "sha")
     # Rows without doc_id can't be found again: their digests decide. An id may have several texts; one equal pair is enough.
     text = lambda docs, key, name: docs.select(F.col("doc_id").alias(key), normalised(F.col("text")).alias(name)).distinct()

@@ -59,3 +59,24 @@ def test_repeated_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sha long").withColumnsRenamed({"sha": "first"})
     got = sorted(map(tuple, exact.ingest(exact.Snapshot(docs.where("doc_id = 1")), docs.where("doc_id = 2")).select("doc_id", "keep_id", "group_size", "kept").collect()))
     assert got == [(1, 1, 2, True), (1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False)]
+
+
+def test_a_first_batch_is_spread(spark, monkeypatch):
+    """A batch far larger than its snapshot: no group of the screening holds more than a few shards' worth of digests."""
+    monkeypatch.setattr(exact, "SHARD_KEYS", 50)
+    seen, screen = spark.sparkContext.accumulator(0), exact._screen
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('t', id % 1500) AS text")
+    for held in (0, 10):
+        base = docs.where(f"doc_id < {held}")
+        got = exact.ingest(exact.Snapshot(base), docs.where(f"doc_id >= {held}")).collect()
+        want = {i: (i % 1500, 2 if i % 1500 < 500 else 1) for i in range(2000)}
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == want
+
+    def counted(batch, filters):
+        seen.add(1)
+        assert batch.num_rows <= 200
+        return screen(batch, filters)
+
+    monkeypatch.setattr(exact, "_screen", counted)
+    exact.ingest(exact.Snapshot(docs.limit(0)), docs).count()
+    assert seen.value >= 20
