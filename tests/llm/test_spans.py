@@ -121,3 +121,27 @@ def test_queries(spark, corpus, docs, name):
         want = [(d, n, g, h) for d, n, g, _, h in want]
     assert sorted(map(tuple, query(spark, full).collect())) == sorted(want)
     assert query(spark, empty).count() == 0
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+def test_words_that_clash_under_any_polynomial(spark, tmp_path):
+    """The Thue-Morse word of 1,024 letters and its complement have equal polynomials modulo 2**64, whatever the base."""
+    from pagemill.llm import automaton, simhash
+
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"{word} {tail}")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in automaton.op2_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+    short = "a" * 40 + "b"
+    for a, b in ((word, other), (thue_morse(64), thue_morse(64).translate(str.maketrans("ab", "ba"))), (short, short[::-1]), ("ab", "ba"), ("a", "a\0"), ("x" * 64, "x" * 65)):
+        one, two = simhash.shingle_sets([a.encode(), b.encode()])
+        assert set(one.tolist()) != set(two.tolist())
