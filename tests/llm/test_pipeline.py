@@ -32,3 +32,17 @@ def test_the_mix_reaches_the_result(spark, docs):
     want = sorted((r.doc_id, r.mix_slot, r.mix_position) for r in mixing.mix(texts, resolution=None).collect())
     assert sorted((r.doc_id, r.mix_slot, r.mix_position) for r in mixed.collect()) == want
     assert mixed.columns != corpus_pipeline.tokens(spark, texts, "").columns
+
+
+def test_columns_of_any_name(spark, docs):
+    """Columns named like those that stages make, with dots, and a source that is a struct come through every stage unchanged."""
+    from pyspark.sql import functions as F
+
+    odd = ("score", "lang_pred", "n_lines", "mix_slot", "a.b", "rest_", "ids")
+    given = docs.select("doc_id", "text", "lang", F.struct(F.col("source").alias("name")).alias("source"), "n_chars", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in odd))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, "")
+        assert out.columns == given.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in odd), name
+    assert corpus_pipeline.tokens(spark, given, "").count() == given.count()
