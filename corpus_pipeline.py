@@ -6,6 +6,8 @@ Every stage takes an empty table to an empty one, keeps rows that repeat (unless
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,21 @@ from pyspark.sql import types as T
 from pagemill.llm import bpe, language, lines, mixing, simhash
 from pagemill.llm.common import settle
 
+#: The columns of documents.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _packed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with what isn't a column of documents in one struct, rest_, whatever it is named; and what undoes that."""
+    others = [c for c in docs.columns if c not in OWN]
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(None).cast("struct<c0: int>")
+
+    def unpack(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c) if c in OWN else F.col("rest_")[f"c{others.index(c)}"].alias(c) for c in docs.columns))
+
+    return docs.select(*OWN, rest.alias("rest_")), unpack
+
+
 #: A prediction below this posterior probability counts as no language.
 SURE = 0.5
 
@@ -22,8 +39,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Learned from rows with text and lang that aren't held out. Equal texts share their fate.
     """
+    docs, unpack = _packed(docs)
     model = language.fit(docs.where(~language.held_out()))
-    return language.predict(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    return unpack(language.predict(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +50,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     All documents stay, also those that lose all their lines. Null texts stay null. Of rows that tie in doc_id, the lesser
     hash of the text comes first; rows that repeat a doc_id and its text are one document and keep the same lines.
     """
-    return lines.dedup_lines(docs, exact_chars=1).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    docs, unpack = _packed(docs)
+    return unpack(lines.dedup_lines(docs, exact_chars=1).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +69,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own. Equal doc_ids are ordered at will, but each row has a position of its own.
     """
-    placed = F.struct(F.col("source").alias("name"), "mix_slot", "mix_position").alias("source")
-    return mixing.mix(docs, resolution=None).select(*(placed if c == "source" else c for c in docs.columns))
+    docs, unpack = _packed(docs)
+    placed = F.struct(F.col("source").alias("name"), "mix_slot", "mix_position")
+    return unpack(mixing.mix(docs, resolution=None).withColumn("source", placed))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +79,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids.
     """
-    place = ("mix_slot", "mix_position") if isinstance(docs.schema["source"].dataType, T.StructType) else ()
+    source = docs.schema["source"].dataType
+    place = ("mix_slot", "mix_position") if isinstance(source, T.StructType) and {"mix_slot", "mix_position"} <= set(source.names) else ()
     return bpe.encode(docs.select("doc_id", "text", *(F.col("source")[c].alias(c) for c in place)), keep=place)
 
 
