@@ -5,6 +5,9 @@ White space is one explicit class everywhere (space, tab, CR, LF, FF, VT), so th
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,6 +105,33 @@ def metadata(header: Column) -> Column:
     return let(mapping(header), fields)
 
 
+def strict_metadata(header: Column) -> Column:
+    """The same fields if the header has all five and each is what it should be; else null.
+
+    Truth is one of YAML's words for it, a rotation one of 0, 90, 180 and 270.
+    """
+
+    def fields(pairs):
+        of = lambda key: mapping_value(pairs, key)
+        truth = lambda key: F.when(F.lower(of(key)).isin("true", "yes", "on"), True).when(F.lower(of(key)).isin("false", "no", "off"), False)
+        turned = F.when(of("rotation_correction").isin("0", "90", "180", "270"), of("rotation_correction").cast("int"))
+        made = F.struct(
+            language(of("primary_language")).alias("primary_language"), truth("is_rotation_valid").alias("is_rotation_valid"), turned.alias("rotation_correction"),
+            truth("is_table").alias("is_table"), truth("is_diagram").alias("is_diagram"),
+        )
+        known = [of("primary_language"), truth("is_rotation_valid"), turned, truth("is_table"), truth("is_diagram")]
+        return F.when(reduce(and_, (x.isNotNull() for x in known)), made)
+
+    return let(mapping(header), fields)
+
+
+def nullable_page(c: Column) -> tuple[Column, Column]:
+    """metadata and markdown by the strict reading: a header that isn't right counts as none, and a page that says nothing, or null, is null."""
+    header, body = front_matter(c)
+    said = strip(F.when(header.isNotNull(), body).otherwise(c))
+    return F.coalesce(strict_metadata(header), metadata(F.lit(None).cast("string"))), let(said, lambda x: F.when((x != "") & (F.lower(x) != "null"), x))
+
+
 def collapse_blank_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 

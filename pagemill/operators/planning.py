@@ -86,3 +86,9 @@ def collision_report(files: DataFrame, shown: int = 10, out: str = "md") -> Data
 def drop_empty_entries(metadata: Column) -> Column:
     """A map without empty or null values."""
     return F.map_filter(metadata, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def source_metadata(rows: DataFrame, key: str, **fields: Column) -> DataFrame:
+    """key and metadata, a map of what is known of a source: every value as text, without those that are null or empty."""
+    entries = [x for name, value in fields.items() for x in (F.lit(name), value.cast("string"))]
+    return rows.select(key, drop_empty_entries(F.create_map(*entries)).alias("metadata"))

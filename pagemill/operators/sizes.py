@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import smart_size
+
 KEYS = ("w", "h", "factor", "least", "most")
 
 #: Blocks near the scaled sides; while there are too many, one row or column of blocks goes, whichever leaves the aspect nearer.
@@ -37,3 +39,20 @@ def block_sizes(rows: DataFrame) -> DataFrame:
     joined = rows.join(found, same, "left").drop(*(f"{c}_" for c in KEYS))
     unscaled = F.expr("w <= 0 OR h <= 0")
     return joined.withColumns({c: F.when(unscaled, F.col(k).cast("int")).otherwise(F.col(c)) for c, k in (("width", "w"), ("height", "h"))})
+
+
+def resize(rows: DataFrame) -> DataFrame:
+    """``rows`` (w, h and the columns of a render profile) with width and height, each by the strategy of its profile.
+
+    ``smart`` rounds to the factor within the bounds of pixels, ``blocks`` gives up blocks one by one; any other strategy raises, and so do bounds without
+    a factor. Without both, sizes stay as they are.
+    """
+    bounded = F.col("resize_factor").isNull() & (F.col("min_pixels").isNotNull() | F.col("max_pixels").isNotNull())
+    rows = rows.withColumn("resize_factor", F.when(bounded, F.raise_error(F.lit("bounds of pixels need a factor")).cast("long")).otherwise(F.col("resize_factor")))
+    smart = rows.where("strategy = 'smart'").withColumn("s", smart_size(F.col("w"), F.col("h"), {c: F.col(c) for c in rows.columns}))
+    smart = smart.withColumns({"width": F.col("s.width"), "height": F.col("s.height")}).drop("s")
+    blocks = rows.where("strategy = 'blocks'").withColumnsRenamed({"resize_factor": "factor", "min_pixels": "least", "max_pixels": "most"})
+    blocks = block_sizes(blocks).withColumnsRenamed({"factor": "resize_factor", "least": "min_pixels", "most": "max_pixels"})
+    unknown = rows.where("strategy IS NULL OR strategy NOT IN ('smart', 'blocks')").withColumns({c: F.raise_error(F.concat(F.lit("unknown strategy: "), F.coalesce("strategy", F.lit("none")))).cast("long") for c in ("width", "height")})
+    cast = lambda df: df.withColumns({c: F.col(c).cast("long") for c in ("width", "height")})
+    return cast(smart).unionByName(cast(blocks)).unionByName(unknown)

@@ -80,7 +80,7 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_page_response(spark: SparkSession, sf: str) -> DataFrame:
-    """Dispatch over all parsers; those whose results SQL can state are compared."""
+    """Dispatch over all parsers, of whose results four are returned; ``parse_all`` returns every row."""
     return G.parse(_responses(spark, sf)).where(F.col("parser").isin("markdown", "dots_layout_json", "infinity_layout_json", "svg")).select("doc_id", "parser", "markdown", "metadata.is_table")
 
 
@@ -92,6 +92,21 @@ FROM documents WHERE doc_id % 7 IN (0, 1, 2, 5)"""
 def parse_all(spark: SparkSession, sf: str) -> DataFrame:
     return G.parse(_responses(spark, sf)).select("doc_id", "parser", "markdown", "metadata.*")
 
+#: What each parser makes of its response: the four that PARSE states, and Markdown with grounding, blocks, and HTML of one paragraph.
+PARSE_ALL = rf"""WITH lines AS (SELECT doc_id, i, {rstrip('line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 7 = 4)),
+f AS (SELECT doc_id, i, CASE WHEN regexp_matches(line, '\A[^\s\x0b\[]+[\s\x0b]+\[[^\]]*\]') THEN lower(regexp_extract(line, '\A([^\s\x0b\[]+)', 1)) END AS mark,
+  CASE WHEN regexp_matches(line, '\A[^\s\x0b\[]+[\s\x0b]+\[[^\]]*\]') THEN {strip(r"regexp_extract(line, '(?s)\A[^\s\x0b\[]+[\s\x0b]+\[[^\]]*\][\s\x0b]*;?[\s\x0b]*(.*)\z', 1)")} ELSE line END AS t FROM lines WHERE line <> ''),
+b AS (SELECT doc_id, i, t, mark, count(mark) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM f),
+k AS (SELECT doc_id, block, string_agg(t, chr(10) ORDER BY i) AS t FROM b GROUP BY doc_id, block HAVING coalesce(max(mark), '') NOT IN ('image', 'figure', 'picture')),
+d AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY block) AS body FROM k GROUP BY doc_id),
+blocks AS (SELECT doc_id, coalesce({strip(r"regexp_replace(body, '\n{3,}', chr(10) || chr(10), 'g')")}, '') AS markdown FROM documents LEFT JOIN d USING (doc_id) WHERE doc_id % 7 = 4),
+made AS (
+  SELECT doc_id, parser, markdown, is_table FROM ({PARSE})
+  UNION ALL SELECT doc_id, 'deepseek_markdown', {strip(r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')")}, false FROM documents WHERE doc_id % 7 = 3
+  UNION ALL SELECT doc_id, 'unlimited_ocr', markdown, false FROM blocks
+  UNION ALL SELECT doc_id, 'chandra_html', CASE WHEN {strip('text')} = '' THEN '<p>' || {strip('text')} || '</p>' ELSE regexp_replace(regexp_replace({strip('text')}, '[ \t\r\n\f\x0b]+', ' ', 'g'), '([*_])', '\\\1', 'g') END, false FROM documents WHERE doc_id % 7 = 6)
+SELECT doc_id, parser, markdown, CAST(NULL AS VARCHAR) AS primary_language, true AS is_rotation_valid, CAST(0 AS INTEGER) AS rotation_correction, is_table, false AS is_diagram FROM made"""
+
 
 def recover_json(spark: SparkSession, sf: str) -> DataFrame:
     """Arrays of two cells that break off inside the second: the first survives."""
@@ -143,7 +158,7 @@ QUERIES = {
     "layout_metadata": (layout_metadata, METADATA),
     "segment_marker_blocks": (segment_marker_blocks, SEGMENTS),
     "parse_page_response": (parse_page_response, PARSE),
-    "parse_all_parsers": (parse_all, None),
+    "parse_all_parsers": (parse_all, PARSE_ALL),
     "recover_json": (recover_json, RECOVER),
     "close_svg": (close_svg, SVG),
     "html_to_markdown": (html_to_markdown, HTML),

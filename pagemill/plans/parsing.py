@@ -51,6 +51,24 @@ SELECT doc_id, CASE WHEN NOT has OR lower(l) IN ('', 'null', 'none', 'false') TH
   coalesce(has AND t IN ('true', 'yes', '1'), false) AS is_table, false AS is_diagram, CASE WHEN lower({strip('body')}) = 'null' THEN '' ELSE {strip('body')} END AS markdown FROM v"""
 
 
+STRICT_IN = (
+    "CASE doc_id % 9 WHEN 0 THEN text WHEN 1 THEN 'Null' WHEN 2 THEN ' ' ELSE '---\nprimary_language: ' || lang || '\nis_rotation_valid: ' || CASE doc_id % 4 WHEN 0 THEN 'maybe' WHEN 1 THEN 'no' ELSE 'True' END "
+    "|| '\nrotation_correction: ' || CASE doc_id % 5 WHEN 0 THEN '45' ELSE '90' END || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '\nis_table: yes' END || '\nis_diagram: off\n---\n' || CASE WHEN doc_id % 9 = 3 THEN ' NULL ' ELSE text END END"
+)
+
+
+def strict_front_matter(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages by the strict reading of their headers, where a page without text is null."""
+    meta, said = T.nullable_page(F.expr(STRICT_IN.replace("\n", "\\n")))
+    return _docs(spark, sf).select("doc_id", meta.alias("m"), said.alias("markdown")).select("doc_id", "m.*", "markdown")
+
+
+STRICT = rf"""WITH r AS (SELECT doc_id, lang, text, doc_id % 9 > 2 AND doc_id % 4 > 0 AND doc_id % 5 > 0 AND doc_id % 7 > 0 AS ok,
+  {strip("CASE doc_id % 9 WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '' ELSE text END")} AS said FROM documents)
+SELECT doc_id, CASE WHEN ok AND lower({strip('lang')}) NOT IN ('', 'null', 'none', 'false') THEN left({strip('lang')}, 16) END AS primary_language, NOT (ok AND doc_id % 4 = 1) AS is_rotation_valid, CAST(CASE WHEN ok THEN 90 ELSE 0 END AS INTEGER) AS rotation_correction,
+  ok AS is_table, false AS is_diagram, CASE WHEN said <> '' AND lower(said) <> 'null' THEN said END AS markdown FROM r"""
+
+
 def clean_grounding_refs(spark: SparkSession, sf: str) -> DataFrame:
     label = F.expr("CASE doc_id % 3 WHEN 0 THEN ' Image ' WHEN 1 THEN 'title' ELSE 'image' END")
     raw = F.concat(F.lit("<|ref|>"), label, F.lit("<|/ref|><|det|>[[1, 2,\n3, 4]]<|/det|>\n# "), "text", F.lit("\n\n\n\n<|ref|>a\nb<|/ref|><|det|>[[1]]<|/det|> x \\coloneqq y \\eqqcolon z" + T.END_OF_SENTENCE))
@@ -96,6 +114,7 @@ SELECT doc_id, CASE WHEN n = 0 THEN {rstrip("'A  ' || text || ' ![x](http://h/i.
 QUERIES = {
     "strip_code_fence": (strip_code_fence, STRIP_FENCE),
     "parse_front_matter": (parse_front_matter, FRONT),
+    "strict_front_matter": (strict_front_matter, STRICT),
     "clean_grounding_refs": (clean_grounding_refs, GROUNDING),
     "format_formula": (format_formula, FORMULA),
     "picture_placeholder": (picture_placeholder, PICTURE),

@@ -169,6 +169,35 @@ l(p_partkey, aspect, x, y) AS (SELECT p_partkey, w / h, greatest(1, CAST(round_e
 SELECT p_partkey, CAST(arg_min(x, x * y) * 28 AS INTEGER) AS width, CAST(arg_min(y, x * y) * 28 AS INTEGER) AS height FROM l GROUP BY p_partkey"""
 
 
+def resize_by_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Every size by every profile, each with its own strategy."""
+    return sizes.resize(_sizes(spark, sf)).select("p_partkey", "profile", "width", "height")
+
+
+RESIZE = f"""SELECT * FROM ({SMART}) UNION ALL SELECT p_partkey, 'CHANDRA' AS profile, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM ({BLOCKS})"""
+
+
+def source_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "documents")
+    known = Pl.source_metadata(rows, "doc_id", title=F.when(F.col("doc_id") % 3 > 0, F.col("source")), lang=F.when(F.col("doc_id") % 4 > 0, F.col("lang")).otherwise(""), pages=F.col("n_chars") % 7)
+    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return known.select("doc_id", F.array_join(entries, ";").alias("metadata"))
+
+
+METADATA = "SELECT doc_id, concat_ws(';', CASE WHEN doc_id % 4 > 0 AND lang <> '' THEN 'lang=' || lang END, 'pages=' || (n_chars % 7), CASE WHEN doc_id % 3 > 0 AND source <> '' THEN 'title=' || source END) AS metadata FROM documents"
+
+
+def service_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests by service, with what the service's model is asked and the lines that a listing shows."""
+    asked = profiles.with_profile(_t(spark, sf, "events").select("event_id", F.expr(SERVICE).alias("service"))).where("error IS NULL").groupBy("canonical").agg(F.count(F.lit(1)).alias("requests"), F.first("prompt").alias("prompt"))
+    return asked.join(F.broadcast(profiles.listing(spark)), F.col("canonical") == F.col("name")).select("canonical", "requests", F.sha2("prompt", 256).alias("prompt_sha256"), "lines")
+
+
+_P = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in (m[0], profiles.OF_MODEL[m[0]], f"{m[0]} (model {m[1]})\n  parser {m[2]}, render profile {m[12]}, at most {m[3]} tokens")) + ")" for m in profiles.MODELS)
+PROMPTS = f"""WITH m(canonical, prompt, lines) AS (VALUES {_P}), e AS (SELECT CASE event_id % 6 WHEN 0 THEN 'zai-org/GLM-OCR' WHEN 1 THEN 'rednote-hilab/dots.ocr-1.5' WHEN 2 THEN 'rednote-hilab/dots.ocr' WHEN 4 THEN 'datalab-to/chandra-ocr-2' ELSE 'baidu/Unlimited-OCR' END AS canonical FROM events WHERE event_id % 6 <> 3)
+SELECT canonical, count(*) AS requests, sha256(any_value(prompt)) AS prompt_sha256, any_value(lines) AS lines FROM e JOIN m USING (canonical) GROUP BY canonical"""
+
+
 def chat_payload(spark: SparkSession, sf: str) -> DataFrame:
     """The request of each turn, read back field by field."""
     rows = _t(spark, sf, "conversations").withColumn("service", F.expr("CASE conv_id % 4 WHEN 0 THEN 'glm-ocr' WHEN 1 THEN 'dots.ocr' WHEN 2 THEN 'unlimited-ocr' ELSE 'deepseek-ocr' END"))
@@ -270,6 +299,9 @@ QUERIES = {
     "render_scale": (render_scale, SCALE),
     "smart_resize": (smart_resize, SMART),
     "block_resize": (block_resize, BLOCKS),
+    "resize_by_profile": (resize_by_profile, RESIZE),
+    "source_metadata": (source_metadata, METADATA),
+    "service_prompts": (service_prompts, PROMPTS),
     "chat_payload": (chat_payload, PAYLOAD),
     "validate_response": (validate_response, VALIDATE),
     "hub_model_filter": (hub_model_filter, HUB),

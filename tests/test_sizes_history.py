@@ -32,3 +32,15 @@ def test_history_is_not_shuffled(spark):
     history.save(got, "history_a", buckets=8)
     assert history.plan(files, "history_a").count() == 0
     spark.sql("DROP TABLE history_a")
+
+
+def test_resize_by_profile(spark):
+    import pytest
+
+    ddl = "id int, w double, h double, strategy string, resize_factor long, min_pixels long, max_pixels long, pixel_count_factor long"
+    rows = [(1, 1632.0, 2112.0, "blocks", 28, 50176, 6291456, 1), (2, 100.0, 60.0, "smart", None, None, None, 1), (3, 1000.0, 700.0, "smart", 28, 12544, 1003520, 2)]
+    got = {r.id: (r.width, r.height) for r in sizes.resize(spark.createDataFrame(rows, ddl)).collect()}
+    assert got[1] == P.bounded_blocks(1632, 2112, 28, 50176, 6291456) and got[2] == (100, 60) and got[3][0] % 28 == got[3][1] % 28 == 0
+    for bad in [(4, 9.0, 9.0, "other", None, None, None, 1), (5, 9.0, 9.0, "smart", None, 4, None, 1)]:
+        with pytest.raises(Exception, match="unknown strategy|need a factor"):
+            sizes.resize(spark.createDataFrame([bad], ddl)).collect()
