@@ -18,7 +18,7 @@ def test_stages(spark):
 def test_edges(spark, docs, corpus):
     kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, corpus[0])
     ids = sorted(r.doc_id for r in kept.collect())
-    assert ids == [1, 3, 6, 7, 9, 9, 11] or ids == [1, 3, 6, 7, 9, 9, 10, 11]
+    assert ids == [1, 3, 6, 7, 9, 9, 11]  # 9 of the 11 shingles of 1 and 10 are shared
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), corpus[1]).count() == 0
         assert stage(spark, docs, corpus[0]).count() > 0
