@@ -27,7 +27,7 @@ def _packed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame
     def unpack(df: DataFrame) -> DataFrame:
         return df.select(*(F.col(c) if c in OWN else F.col("rest_")[f"c{others.index(c)}"].alias(c) for c in docs.columns))
 
-    return docs.select(*OWN, rest.alias("rest_")), unpack
+    return docs.select(*(c for c in OWN if c in docs.columns), rest.alias("rest_")), unpack
 
 
 #: A prediction below this posterior probability counts as no language.
