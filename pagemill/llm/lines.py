@@ -10,6 +10,9 @@ that could be that segment (Li et al., Pass-Join, 2011). The lines under one key
 and those that go are passed on, never pairs. A key that more than ``TILE`` lines share is cut again: what the shared
 segment leaves of its lines is cut into ``FINER`` segments, all but one of which must be shared, and so on, until one
 symbol is left; there the earliest line under a key decides. (Thresholds other than one are compared tile by tile there.)
+
+Few lines share a key with another. Which keys different lines share is told from hashes alone, a Bloom filter of them is
+broadcast, and only lines that pass it are shuffled as text; what it passes in error is met by no other line.
 """
 
 from __future__ import annotations
@@ -23,12 +26,18 @@ MIN_CHARS = 20
 THRESHOLD = 1
 TILE = 64
 FINER = 16
+#: Bits of the Bloom filter for each shared key, and at least and at most in all (2**27: 16 MB). A fuller one passes more lines.
+FILTER_BITS = 32
+FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 27
+
 
+def _keys(threshold: int, min_chars: int, longest: int | None = None) -> tuple[list[Column], list[int]]:
+    """The keys that a line (columns line and n, its length) probes, null where it can't; and which of them it is found by.
 
-def _keys(threshold: int, min_chars: int) -> tuple[list[Column], list[int]]:
-    """The keys that a line (columns line and n, its length) probes, null where it can't; and which of them it is found by."""
+    Others may be longer by ``longest`` (the threshold unless given).
+    """
     size, keys, own = F.col("n"), [], []
-    for delta in range(-threshold, threshold + 1):  # own length minus the other's
+    for delta in range(-(threshold if longest is None else longest), threshold + 1):  # own length minus the other's
         other = size - delta
         for i in range(threshold + 1):
             begin = F.expr(f"((n - {delta}) * {i}) div {threshold + 1}").cast("int")
@@ -55,18 +64,47 @@ def first_lines(named: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return first.groupBy("at.k", "at.th").agg(F.collect_list("at.no").alias("nos"))
 
 
-def near_lines(different: DataFrame, lines_of, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """k, th, no of the different lines (k, th, no, line) that an earlier one is within the threshold of.
+def _filter(keys: DataFrame, n: int) -> DataFrame:
+    """One row: words, a Bloom filter of the n keys with two bits for each, as blocks of 1,024 words of 64 bits."""
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * n - 1).bit_length()))
+    own = F.expr(f"explode(array(key & {bits - 1}, shiftrightunsigned(key, 32) & {bits - 1}))")
+    marks = keys.select(own.alias("bit")).groupBy(F.expr("bit >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
+    every = keys.sparkSession.range(bits >> 6).withColumnRenamed("id", "word").join(marks, "word", "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
+    inner = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "bits"))), lambda x: x["bits"])
+    blocks = every.groupBy(F.expr("word >> 10").alias("block")).agg(inner("word").alias("bits"))
+    return blocks.agg(inner("block").alias("words")).withColumn("mask", F.lit(bits - 1).cast("long"))
+
+
+def _passes(keys: str) -> Column:
+    """Whether the filter (words, mask) has both bits of any of the keys."""
+    bit = lambda at: f"shiftright(words[int(({at} & mask) >> 16)][int((({at} & mask) >> 6) & 1023)], int({at} & 63))"
+    return F.expr(f"exists({keys}, key -> ({bit('key')} & {bit('shiftrightunsigned(key, 32)')} & 1) = 1)")
 
-    lines_of gives the lines that rows (k, th, no) name.
+
+def met_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame | None:
+    """k, th, no, line: where each different line first stands, of those that share a key with another, and few more; None if none do.
+
+    The longer of two lines looks for the shorter one, so that keys of longer others aren't needed here.
     """
+    lines = named.select("k", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    keys = _keys(threshold, min_chars, longest=0)[0]
+    keyed = lines.select(F.xxhash64("line").alias("d"), F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+    shared = settle(keyed.groupBy("key").agg(F.min("d").alias("one"), F.max("d").alias("two")).where("one != two").select("key"))
+    if not (n := shared.count()):
+        return None
+    probes = lines.select("k", "th", "no", "line", F.array_compact(F.array(*keys)).alias("keys"))
+    # A join with one row, the filter: no line meets another here.
+    met = probes.join(F.broadcast(_filter(shared, n)), _passes("keys"), "left_semi")
+    return settle(met.groupBy("line").agg(F.min(F.struct("k", "th", "no")).alias("at")).select("at.*", "line"))
+
+
+def near_lines(different: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """k, th, no of the different lines (k, th, no, line) that an earlier one is within the threshold of."""
     lines = different.withColumn("d", F.xxhash64("line"))
     keys, own = _keys(threshold, min_chars)
     keyed = lines.select("d", "line", F.length("line").alias("n")).select("d", F.posexplode(F.array(*keys)).alias("i", "key")).where("key IS NOT NULL").withColumn("indexed", F.col("i").isin(own))
     shared = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("found")).where("n > 1 AND found").select("key", "n"))
-    # Few lines share a key with another: those are looked up in their documents, so that no other text moves.
-    met = keyed.join(shared, "key").join(lines.select("d", "k", "th", "no"), "d")
-    met = met.join(lines_of(met.select("k", "th", "no")), ["k", "th", "no"]).withColumn("at", F.struct("k", "th", "no"))
+    met = keyed.join(shared, "key").join(lines, "d").withColumn("at", F.struct("k", "th", "no"))
     near = _compared(met.where(f"n <= {TILE}"), "line", threshold)
     if shared.where(f"n > {TILE}").head(1):
         crowded = met.where(f"n > {TILE}")
@@ -129,16 +167,10 @@ def _tiled(met: DataFrame, threshold: int) -> DataFrame:
 def kept_lines(named: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """k, th and nos: the numbers of the lines, of those that can go, that stay."""
     first = settle(first_lines(named, min_chars if exact_chars is None else exact_chars))
-
-    def lines_of(rows: DataFrame) -> DataFrame:
-        nos = rows if "nos" in rows.columns else rows.groupBy("k", "th").agg(F.collect_set("no").alias("nos"))
-        split = named.join(nos, ["k", "th"]).select("k", "th", "nos", F.split("text", "\n").alias("lines"))
-        # The generator makes the rows, so that none of them carries the whole text.
-        own = F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(F.col("lines"), i).alias("line")))
-        return split.select("k", "th", F.inline(own))
-
-    near = near_lines(lines_of(first).where(F.length("line") >= min_chars), lines_of, threshold, min_chars)
-    gone = near.groupBy("k", "th").agg(F.collect_list("no").alias("gone"))
+    met = met_lines(named, threshold, min_chars)
+    if met is None:
+        return first.select("k", "th", F.array_sort("nos").alias("nos"))
+    gone = near_lines(met, threshold, min_chars).groupBy("k", "th").agg(F.collect_list("no").alias("gone"))
     left = F.when(F.col("gone").isNull(), F.col("nos")).otherwise(F.array_except("nos", "gone"))
     return first.join(gone, ["k", "th"], "left").select("k", "th", F.array_sort(left).alias("nos"))
 

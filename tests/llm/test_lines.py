@@ -104,3 +104,21 @@ def test_short_repeats_go_in_the_pipeline(spark):
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert got == {1: "ab\n\na line of some length, first", 2: "abc\n", 3: ""}
+
+
+def test_text_moves_once(spark):
+    """Lines that share no key with another aren't shuffled to be compared: only what the output needs moves."""
+    rng = random.Random(5)
+    rows = [(i, "\n".join("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(400)) for _ in range(10))) for i in range(800)]
+    rows.append((800, rows[7][1].split("\n")[3][:-1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        executors = store.executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    df = df.localCheckpoint()
+    before = written()
+    assert [r.doc_id for r in lines.dedup_lines(df).collect() if r.n_removed] == [800]
+    assert written() - before < 1.5 * sum(len(t.encode()) for _, t in rows)
