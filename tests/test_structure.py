@@ -4,6 +4,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.functions import procedural as P
 from pagemill.functions import structure as S
@@ -51,3 +52,13 @@ def test_cells_behind_brackets():
     assert json.loads(P.normal_cells('{"data":{"result":{"cells":[' + cell + "]}}}", False))[0]["text"] == "t"
     assert json.loads(P.normal_cells("note [unclosed \"quote [" + cell + "]", False))[0]["text"] == "t"
     assert json.loads(P.normal_cells("```json\n[" + cell + "," + cell + ',{"bbox":[0,0', True)) == 2 * json.loads(P.normal_cells("[" + cell + "]", False))
+
+
+def test_rows_are_read_one_by_one(spark):
+    """Long responses don't meet in an Arrow batch of 10,000 rows, so a worker's memory doesn't grow with them."""
+    rows = spark.range(40).select(F.format_string('[{"category":"Text","bbox":[0,0,1,1],"text":"%s"},{"bbox":[0', F.repeat(F.lit("é"), 100_000)).alias("t"))
+    made = rows.select(P.recover_cells("t", F.lit(True)).alias("c"), P.recover_svg(F.concat(F.lit("<svg>"), "t")).alias("s"), P.convert_html("t").alias("h"))
+    assert "Arrow" not in made._jdf.queryExecution().toString()
+    assert made.where("length(c) > 100000 AND endswith(s, '</svg>') AND length(h.markdown) > 100000").count() == 40
+    nothing = spark.range(1).select(F.lit(None).cast("string").alias("t")).select(P.recover_cells("t", F.lit(None).cast("boolean")), P.recover_svg("t"), P.convert_html("t").getField("markdown"))
+    assert tuple(nothing.first()) == (None, None, "")
