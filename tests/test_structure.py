@@ -62,3 +62,11 @@ def test_rows_are_read_one_by_one(spark):
     assert made.where("length(c) > 100000 AND endswith(s, '</svg>') AND length(h.markdown) > 100000").count() == 40
     nothing = spark.range(1).select(F.lit(None).cast("string").alias("t")).select(P.recover_cells("t", F.lit(None).cast("boolean")), P.recover_svg("t"), P.convert_html("t").getField("markdown"))
     assert tuple(nothing.first()) == (None, None, "")
+
+
+@pytest.mark.parametrize("name", ["recover_json", "parse_page_response"])
+def test_queries_read_row_by_row(spark, name):
+    from pagemill.plans import layouts
+
+    made = layouts.QUERIES[name][0](spark, "/root/testdata/sf0.001")
+    assert "Arrow" not in made._jdf.queryExecution().toString()
