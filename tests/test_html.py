@@ -43,5 +43,24 @@ def test_like_their_sql(spark, name):
     assert rows == sorted(want.project(", ".join(f'"{c}"' for c in columns)).fetchall(), key=str) and rows
 
 
+def test_cut_references_like_the_sql(spark, tmp_path):
+    """Titles that end inside a reference, as some of ``pages`` do at larger sizes."""
+    cuts = ["&", "&a", "&am", "&amp", "&amp;", "&q", "&quo", "&quot", "&quot;", "&lt", "&gt", "&copy", "&middot", "&ampquot", "&amp;quot", "&quotx", "&quotx;", "&nbsp", "&AMP", "&#39", "&#x27", "& b"]
+    page = '<html><head><title>t</title></head><body><ul><li><a href="/x{0}">x{0}</a></li></ul><article><h1>token = {0}</h1><p><b>a &quot;b&quot; &amp;&amp; c{0}<br><p>{0}d</p></article><footer>&copy; e &middot; f</footer></body></html>'
+    spark.createDataFrame([(i, page.format(x)) for i, x in enumerate(cuts)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"SELECT page_id, markdown, is_table, is_diagram FROM ({layouts.HTML}) ORDER BY page_id").fetchall()
+    assert [tuple(x) for x in layouts.html_to_markdown(spark, str(tmp_path)).orderBy("page_id").collect()] == want and len(want) == len(cuts)
+
+
+def test_references_without_a_semicolon():
+    # The parser of responses reads them, as the reference does; what stays HTML keeps them as they are.
+    assert P.html_page("<p>&quot &amp &eacute; &#39; &x;</p>")[0] == '" & é \' &x;'
+    assert P.html_page("<p>&quot &amp &eacute; &#39; &#x27; &x; &#39</p>", unclosed=False)[0] == "&quot & é ' ' &x; &#39"
+    assert P.html_page('<p title="&quot"></p>', unclosed=False)[0] == '<p title="&quot"></p>'
+    assert H.closed_references("&" * 100_000 + "&a" * 100_000 + "a" * 1_000_000).startswith("&&")
+
+
 def test_every_parser_is_compared():
     assert "parse_all_parsers" in registry.ORACLE and "html_to_markdown" in registry.ORACLE and layouts.PARSE in layouts.PARSE_ALL
