@@ -54,6 +54,17 @@ def test_cut_references_like_the_sql(spark, tmp_path):
     assert [tuple(x) for x in layouts.html_to_markdown(spark, str(tmp_path)).orderBy("page_id").collect()] == want and len(want) == len(cuts)
 
 
+@pytest.mark.parametrize("odd", ["\xa0", "\x85", "\x1c", "\u2003", "\u2028", "\u3000"])
+def test_white_space_like_the_sql(odd):
+    """Only the explicit class is white space: other spaces are kept, wherever they are."""
+    form = '<html><head></head><body><ul><li><a href="/{0}">{0}</a></li></ul><div class="ad">{0}</div><article><h1>{0}</h1><p><b>{0}<br><p>{0}</p><p><b>{0}<br></article><footer>&copy; {0}</footer></body></html>'
+    pages = [form.format(x) for x in (f"a{odd}b", f"{odd}b", f"b{odd}", f"a{odd}{odd}b", odd)] + [form.format("a").replace("a<", f"a {odd} <").replace(f"a {odd} </a>", "a</a>")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
+    assert [P.html_page(x, unclosed=False)[0] for x in pages] == [x for x, in con.sql(f"SELECT markdown FROM ({layouts.HTML}) ORDER BY page_id").fetchall()]
+
+
 def test_references_without_a_semicolon():
     # The parser of responses reads them, as the reference does; what stays HTML keeps them as they are.
     assert P.html_page("<p>&quot &amp &eacute; &#39; &x;</p>")[0] == '" & é \' &x;'
